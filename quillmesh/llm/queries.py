@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .near_dup import op4_near_dup
 from .token_store import op5_token_store
 
-QUERIES = {f.__name__: f for f in (op5_token_store,)}
+QUERIES = {f.__name__: f for f in (op4_near_dup, op5_token_store)}
 #: DuckDB SQL where SQL can express a query.
 ORACLES: dict[str, str] = {}

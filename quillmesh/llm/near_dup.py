@@ -6,8 +6,9 @@ shift by k. Coordinates are cut into bands; documents that agree in a band are c
 
 How it stays linear where a group of copies holds much of the input:
 - documents with equal sets are one class from the start (an aggregation that combines before the shuffle);
-- within a band bucket each class is first compared with the bucket's least class only (a star), never all with all;
-- what the stars join is merged; only buckets that still hold several components are compared across components, in blocks.
+- each class is first compared with one other only, the least class of all its band buckets, and what links is merged;
+- then with the least class of each of its buckets (a star), where that lies in another component;
+- only buckets that still hold several components are compared across components, in blocks, never all with all.
 So every candidate pair is either verified or already connected, and no link between candidates is lost.
 """
 
@@ -25,8 +26,8 @@ from .common import Workspace, mix, raw, run_hashes, table, tuned, word_hashes
 
 #: Signature coordinates at most, and the chance to miss a pair that lies exactly at the threshold.
 COORDINATES, MISS = 192, 1e-6
-#: Residual buckets beyond this size are compared in blocks of so many rows.
-BLOCK = 512
+#: Residual buckets of at most SMALL rows are joined with themselves; larger ones are compared in blocks of BLOCK rows.
+SMALL, BLOCK = 16, 512
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -225,6 +226,13 @@ class NearDuplicates:
         self.ws.drop(near, sets)
         return out
 
+    def apart(self, buckets: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
+        """Pairs of a class and the centre of one of its buckets that are in different components so far."""
+        stars = buckets.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        side = lambda s: comp.select(F.col("id").alias(s), F.col("component_id").alias(f"c_{s}"))
+        named = stars.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return self.ws.save(named.filter("coalesce(c_a, a) != coalesce(c_b, b)").select("a", "b"))
+
     def across(self, buckets: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs of a bucket that lie in different components so far (without those that the stars have tried)."""
         named = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
@@ -236,11 +244,11 @@ class NearDuplicates:
         left = named.join(split, "bucket")
         left = self.ws.save(left.select("bucket", "id", "comp", "centre", "n", (F.col("comp") == F.col("main")).alias("inner")))
         self.ws.drop(named, split)
-        small = left.filter(F.col("n") <= BLOCK).select("bucket", "id", "comp", "centre")
+        small = left.filter(F.col("n") <= SMALL).select("bucket", "id", "comp", "centre")
         a, b = small.alias("a"), small.alias("b")
         pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.id") != F.col("a.centre")))
         pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        out = pairs.union(self._blocks(left.filter(F.col("n") > BLOCK), reps)).distinct()
+        out = pairs.union(self._blocks(left.filter(F.col("n") > SMALL), reps)).distinct()
         out = self.ws.save(out)
         self.ws.drop(left)
         return out
@@ -266,15 +274,16 @@ class NearDuplicates:
         docs = self.classes()
         reps = ws.save(docs.filter("n_shingles > 0 and bands is not null").select(F.col("rep").alias("id"), "n_shingles", "bands", "low"))
         buckets = self.buckets(reps)
-        stars = ws.save(buckets.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
-        links = self.verified(stars, reps)
+        star = buckets.filter("id != centre")
+        links = self.verified(ws.save(star.groupBy("id").agg(F.min("centre").alias("a")).select("a", F.col("id").alias("b"))), reps)
         comp = components(ws, links)
-        more = self.across(buckets, comp, reps)
-        ws.drop(buckets, stars)
-        if more.limit(1).count():
-            rest = self.verified(more, reps)
-            comp = components(ws, links.union(rest))
-        ws.drop(more, reps)
+        for pairs in (self.apart, self.across):
+            more = pairs(buckets, comp, reps)
+            if more.limit(1).count():
+                links = links.union(self.verified(more, reps))
+                comp = components(ws, links)
+            ws.drop(more)
+        ws.drop(buckets, reps)
         out = docs.select("doc_id", "n_shingles", "rep").join(comp, F.col("rep") == F.col("id"), "left")
         alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
         return out.select("doc_id", "n_shingles", F.coalesce(alone, "component_id", "rep").alias("component_id"))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from . import rules
+from .decontam import op8_decontaminate
 from .near_dup import op4_near_dup
+from .pieces import op3_sentencepiece
+from .quality import op7_quality
+from .sharding import op2_sharding
+from .substring import op6_substring_dedup
 from .token_store import op5_token_store
+from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_near_dup, op5_token_store)}
+_ALL = (rules.op1_quality_rules, op2_sharding, op3_sentencepiece, op4_near_dup, op5_token_store, op6_substring_dedup, op7_quality, op8_decontaminate, op9_toxicity)
+QUERIES = {f.__name__: f for f in _ALL}
 #: DuckDB SQL where SQL can express a query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL}

@@ -1,7 +1,7 @@
 """Exact removal of repeated word windows by super-k-mer partitioning.
 
-A window is `window` consecutive words. Its minimiser is the least hash among its m-word runs; consecutive windows with the
-same minimiser form one super-k-mer, which travels as one packed string (64-bit word codes) to the bucket of its minimiser.
+A window is `window` consecutive words. Its minimiser is the least hash among its m-word runs; consecutive windows that
+share that run form one super-k-mer, which travels as one packed string (64-bit word codes) to the bucket of its minimiser.
 Equal windows have equal minimisers, so each bucket can be judged alone: sorting its windows shows which occur earlier.
 
 Most windows occur once, so the strings of a bucket travel only where that can matter:
@@ -39,15 +39,17 @@ def super_kmers(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndar
     if count <= 0:
         none = np.empty(0, np.int64)
         return none, none, none, none
+    # Leftmost least run of each window, by doubling. Equal windows have it at the same offset, so two of them never share
+    # one super-k-mer, not even in periodic text.
     low = run_hashes(h, m)
-    span = window - m + 1
-    size = 1
-    while size * 2 <= span:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    if size < span:
-        low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
-    starts = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
+    at = np.arange(len(low))
+    span, size = window - m + 1, 1
+    while size < span:
+        step = min(size, span - size)
+        right = low[step:] < low[:-step]
+        low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+        size += step
+    starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     n = np.diff(np.append(starts, count))
     # The string's hash from prefix sums of word code times an odd power, brought back to power 0 by the inverse.
     up, down = _powers(len(h) + 1)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, order_prefix, raw, table, tuned
 
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 END_ID = 1
 
 
@@ -27,30 +27,59 @@ class WordEncoder:
     """Ids of a text by a tokenizer whose pre-tokens never span white space, so a text is the sum of its words.
 
     This holds for the public word-level BPE file: it maps white space to one space, drops it, and splits before merging.
-    Each distinct word goes through the library once and is remembered.
+    Each distinct word goes through the library once and is remembered. A word of letters, with marks behind it perhaps, is
+    one pre-token or two: the library normalises it and its BPE model merges it. Any other word takes the whole way.
     """
 
+    MARKS = ".,!?;:*#$%&"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.code = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        # The byte alphabet of byte-level BPE: printable bytes stand for themselves, others for letters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = (b for b in range(256) if b not in plain)
+        self.alphabet = dict(zip(plain, plain, strict=True)) | {b: 256 + i for i, b in enumerate(rest)}
+
+    def slow(self, text: str) -> bytes:
+        return b"".join([self.code[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
+
+    def add(self, new: list[bytes]) -> None:
+        code, tokenize = self.code, self.model.tokenize
+        # Normalised together, at spaces; a word that would change its length in words goes the whole way.
+        texts = b" ".join(new).decode().split(" ")
+        lower = self.whole.normalizer.normalize_str(" ".join(texts)).split(" ")
+        if len(lower) != len(texts):
+            lower = [""] * len(texts)
+        for word, text, low in zip(new, texts, lower, strict=True):
+            body = low.rstrip(self.MARKS)
+            if not body.isalpha():
+                self.known[word] = self.slow(text)
+                continue
+            marks = low[len(body) :]
+            if marks not in self.marks:
+                self.marks[marks] = self.slow(marks)
+            if not body.isascii():
+                body = body.encode().decode("latin-1").translate(self.alphabet)
+            self.known[word] = b"".join([code[t.id] for t in tokenize(body)]) + self.marks[marks]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text, cut at ASCII white space (the library cuts there too)."""
-        out = []
-        for start in range(0, len(texts), 64):
-            words = [t.split() for t in texts[start : start + 64]]
-            new = list(set().union(*words).difference(self.known))
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set().union(*words))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-            out += [b"".join(map(self.known.__getitem__, w)) for w in words]
-        return out
+        words = [t.split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.marks = {"": b""}
+        new: set[bytes] = set()
+        for w in words:
+            new.update(set(w).difference(self.known))
+        if new:
+            self.add(list(new))
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
 _encoders: dict[str, WordEncoder] = {}

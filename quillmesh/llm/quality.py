@@ -116,12 +116,12 @@ class Scorer:
         return self.bias + (total.real / total.imag if total.imag else 0.0)
 
 
-def _score(weights: np.ndarray, bias: float):
+def _score(weights: np.ndarray, bias: float, passed: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights, bias)
         for b in batches:
             z = np.array([scorer.logit(t) for t in raw(b.column("text"))])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(1 / (1 + np.exp(-z)))], [*(c for c in b.schema.names if c != "text"), "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), pa.array(1 / (1 + np.exp(-z)))], [*passed, "score"])
 
     return run
 
@@ -140,9 +140,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep:
     tuned(docs.sparkSession)
     got = labelled(docs, labels, "quality", 4, 2, rows).repartition(16, "_l").select("label", "text").mapInArrow(_counts, "label int, ids array<int>, n array<float>").toArrow()
     y = np.array(got.column("label").to_pylist(), np.int64)
-    rows_ = docs.select("doc_id", held_out(4, 2).alias("held_out"), *keep, "text")
+    passed = ("doc_id", "held_out", *keep)
+    rows_ = docs.withColumn("held_out", held_out(4, 2)).select(*passed, *({"text"} - set(passed)))
     if not len(y):
-        out = rows_.withColumn("score", F.lit(1.0)).select(*[c for c in rows_.columns if c != "text" or "text" in keep], "score")
+        out = rows_.withColumn("score", F.lit(1.0)).select(*passed, "score")
     else:
         y = (y > 0).astype(np.int64)
         order = np.lexsort((y, [zlib.crc32(np.asarray(v.values).tobytes()) for v in got.column("ids")]))  # rows come in any order
@@ -150,8 +151,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep:
         n = [np.asarray(got.column("n")[int(i)].values) for i in order]
         weights, bias = train(ids, n, y[order])
         kinds = dict(rows_.dtypes)
-        passed = [c for c in rows_.columns if c != "text"]
-        out = rows_.mapInArrow(_score(weights, bias), ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", score double")
+        out = rows_.mapInArrow(_score(weights, bias, passed), ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", score double")
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

@@ -236,7 +236,7 @@ def _dealt(docs: DataFrame, ws: Workspace, wanted: DataFrame, window: int) -> Da
     return repeated
 
 
-def _strip(window: int):
+def _strip(window: int, passed: tuple[str, ...]):
     """Removes covered words. kept: the words that stay joined by one space; same: nothing was removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def _strip(window: int):
                 kept.append(b" ".join(words))
                 digest.append(hashlib.sha256(kept[-1]).hexdigest())
             own = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digest)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c not in ("ranges", "text")), *own], [*(c for c in b.schema.names if c not in ("ranges", "text")), "n_words", "n_removed", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), *own], [*passed, "n_words", "n_removed", "kept", "kept_sha256"])
 
     return run
 
@@ -275,10 +275,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (
     ws = Workspace(spark)
     keyed = row_key(docs)
     ranges = repeated_ranges(keyed, ws, window)
-    rows = keyed.select("doc_id", "_id", "_th", "text", *carry).join(ranges.hint("shuffle_hash"), ["_id", "_th"], "left").drop("_id", "_th")
+    rows = keyed.select("doc_id", "_id", "_th", *{"text": 0, **dict.fromkeys(carry)}).join(ranges.hint("shuffle_hash"), ["_id", "_th"], "left").drop("_id", "_th")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)) + ", n_words long, n_removed long, kept string, kept_sha256 string"
-    return rows.mapInArrow(_strip(window), schema)
+    return rows.mapInArrow(_strip(window, ("doc_id", *carry)), schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ from .common import Workspace, mix, raw, run_hashes, table, tuned, word_hashes
 COORDINATES, MISS = 192, 1e-6
 #: Residual buckets of at most SMALL rows are joined with themselves; larger ones are compared in blocks of BLOCK rows.
 SMALL, BLOCK = 16, 512
+#: Coordinates of the longer signature that members of such larger buckets get; estimates by it are three times as sharp.
+LONG = 1024
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -140,20 +142,34 @@ def _sets(k: int):
     return run
 
 
+def _long(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs = [signature(shingle_set(t, k), LONG).astype(np.uint8).tobytes() for t in raw(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigs, pa.binary())], ["id", "low"])
+
+    return run
+
+
 def _cross(least: float):
-    """Pairs across components within a block, or between two blocks, of one bucket; by signature estimate."""
+    """Pairs across components within a block, or between two blocks, of one bucket; by signature estimate.
+
+    A pair that shares an earlier band too is left to that band's bucket.
+    """
 
     def run(key, t):
         _, inner, x, y = (k.as_py() for k in key)
         ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
-        side = t.column("side").to_numpy()
+        side, band = t.column("side").to_numpy(), t.column("band")[0].as_py()
         low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
+        earlier = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)[:, :band]
         a, b = [], []
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         within = not inner and x == y
         for n, i in enumerate(left.tolist()):
             js = left[n + 1 :] if within else right
             js = js[(comp[js] != comp[i]) & (ids[js] != ids[i])]
+            js = js[~(earlier[js] == earlier[i]).any(axis=1)] if len(js) else js
             js = js[_agreeing(low[js], low[i][None, :], least)] if len(js) else js
             a += [ids[i]] * len(js)
             b += ids[js].tolist()
@@ -205,7 +221,7 @@ class NearDuplicates:
 
     def buckets(self, reps: DataFrame) -> DataFrame:
         """Band buckets with two classes or more: bucket, id, centre (the least id)."""
-        each = reps.select("id", F.explode("bands").alias("bucket"))
+        each = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
         shared = each.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last").select("bucket", "centre")
         shared = self.ws.save(shared)
         out = self.ws.save(each.join(shared, "bucket"))
@@ -242,20 +258,24 @@ class NearDuplicates:
         main = named.filter("id = centre").select("bucket", F.col("comp").alias("main")).distinct()
         split = self.ws.save(split.select("bucket", "n").join(main, "bucket"))
         left = named.join(split, "bucket")
-        left = self.ws.save(left.select("bucket", "id", "comp", "centre", "n", (F.col("comp") == F.col("main")).alias("inner")))
+        left = self.ws.save(left.select("bucket", "band", "id", "comp", "centre", "n", (F.col("comp") == F.col("main")).alias("inner")))
         self.ws.drop(named, split)
         small = left.filter(F.col("n") <= SMALL).select("bucket", "id", "comp", "centre")
         a, b = small.alias("a"), small.alias("b")
         pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.id") != F.col("a.centre")))
         pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        out = pairs.union(self._blocks(left.filter(F.col("n") > SMALL), reps)).distinct()
-        out = self.ws.save(out)
+        large = left.filter(F.col("n") > SMALL)
+        if large.limit(1).count():
+            ids = large.select(F.col("id").alias("doc_id")).distinct()
+            long = self.ws.save(self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_long(self.k), "id long, low binary"))
+            pairs = pairs.union(self._blocks(large, long.join(reps.select("id", "bands"), "id")))
+        out = self.ws.save(pairs.distinct())
         self.ws.drop(left)
         return out
 
     def _blocks(self, large: DataFrame, reps: DataFrame) -> DataFrame:
         size = large.groupBy("bucket").agg(F.ceil(F.count_if("inner") / BLOCK).alias("n_in"), F.ceil(F.count_if(~F.col("inner")) / BLOCK).alias("n_out"))
-        rows = large.join(size, "bucket").join(reps.select("id", "low"), "id")
+        rows = large.join(size, "bucket").join(reps, "id")
         own = F.pmod(F.xxhash64("id"), F.greatest(F.when(F.col("inner"), F.col("n_in")).otherwise(F.col("n_out")), F.lit(1)))
         rows = rows.withColumn("own", own)
         out_range = F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1)
@@ -266,8 +286,9 @@ class NearDuplicates:
                 F.transform(out_range, lambda o: F.struct(F.lit(False).alias("i"), F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), F.when(F.col("own") > o, 1).otherwise(0).alias("side"))),
             )
         )
-        rows = rows.filter("n_out > 0").select("bucket", "id", "comp", "low", F.explode(met).alias("m")).select("bucket", "id", "comp", "low", "m.*")
-        return rows.groupBy("bucket", "i", "x", "y").applyInArrow(_cross(self.least), "a long, b long")
+        rows = rows.filter("n_out > 0").select("bucket", "band", "id", "comp", "low", "bands", F.explode(met).alias("m")).select("bucket", "band", "id", "comp", "low", "bands", "m.*")
+        t = self.percent / 100
+        return rows.groupBy("bucket", "i", "x", "y").applyInArrow(_cross(t - 6.5 * (t * (1 - t) / LONG) ** 0.5), "a long, b long")
 
     def run(self) -> DataFrame:
         ws = self.ws

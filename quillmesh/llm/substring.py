@@ -29,6 +29,8 @@ MINIMISER = 6
 SPLIT = 4096
 #: Packed bytes that a task sorts at a time.
 CHUNK = 8 << 20
+#: Rows that a worker hands over at a time, about.
+ROWS = 20_000
 
 _PLACE = "_id long, _th long, start int, n int"
 
@@ -93,14 +95,18 @@ def _pack(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            names = ["bucket", "_id", "_th", "start", "n", "packed"]
             for text, i, th, wanted in zip(raw(b.column("text")), b.column("_id").to_pylist(), b.column("_th").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 h = word_hashes((text or b"").split())
                 for w in wanted:
                     s, n = w["start"], w["n"]
                     for col, v in zip(out, (w["low"], i, th, s, n, h[s : s + n + window - 1].tobytes()), strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "_id", "_th", "start", "n", "packed"])
+                if len(out[0]) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                    out = [[], [], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     return run
 

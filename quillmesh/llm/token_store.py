@@ -40,7 +40,7 @@ class WordEncoder:
         self.model = self.whole.model
         self.code = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {}
         # The byte alphabet of byte-level BPE: printable bytes stand for themselves, others for letters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in plain)
@@ -50,36 +50,45 @@ class WordEncoder:
         return b"".join([self.code[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
 
     def add(self, new: list[bytes]) -> None:
-        code, tokenize = self.code, self.model.tokenize
-        # Normalised together, at spaces; a word that would change its length in words goes the whole way.
+        code, tokenize, known = self.code, self.model.tokenize, self.known
         texts = b" ".join(new).decode().split(" ")
-        lower = self.whole.normalizer.normalize_str(" ".join(texts)).split(" ")
-        if len(lower) != len(texts):
-            lower = [""] * len(texts)
-        for word, text, low in zip(new, texts, lower, strict=True):
+        # ASCII needs lower case only; the rest is normalised together, at spaces.
+        odd = [t for t in texts if not t.isascii()]
+        lower = self.whole.normalizer.normalize_str(" ".join(odd)).split(" ") if odd else []
+        low_of = dict(zip(odd, lower, strict=True)) if len(odd) == len(lower) else {}
+        for word, text in zip(new, texts, strict=True):
+            low = text.lower() if text.isascii() else low_of.get(text, "")
             body = low.rstrip(self.MARKS)
             if not body.isalpha():
-                self.known[word] = self.slow(text)
+                known[word] = self.slow(text)
                 continue
-            marks = low[len(body) :]
-            if marks not in self.marks:
-                self.marks[marks] = self.slow(marks)
-            if not body.isascii():
-                body = body.encode().decode("latin-1").translate(self.alphabet)
-            self.known[word] = b"".join([code[t.id] for t in tokenize(body)]) + self.marks[marks]
+            raw_body, size = body.encode(), len(body)
+            ids = known.get(raw_body)
+            if ids is None:
+                if not body.isascii():
+                    body = raw_body.decode("latin-1").translate(self.alphabet)
+                ids = known[raw_body] = b"".join([code[t.id] for t in tokenize(body)])
+            if marks := low[size:]:
+                if marks not in self.marks:
+                    self.marks[marks] = self.slow(marks)
+                ids += self.marks[marks]
+            known[word] = ids
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text, cut at ASCII white space (the library cuts there too)."""
-        words = [t.split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-            self.marks = {"": b""}
+            self.marks.clear()
+        words = [t.split() for t in texts]
+        got = [list(map(self.known.get, w)) for w in words]
         new: set[bytes] = set()
-        for w in words:
-            new.update(set(w).difference(self.known))
+        for w, g in zip(words, got, strict=True):
+            if None in g:
+                new.update([x for x, y in zip(w, g, strict=True) if y is None])
         if new:
             self.add(list(new))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        known = self.known
+        return [b"".join([known[x] if y is None else y for x, y in zip(w, g, strict=True)]) if None in g else b"".join(g) for w, g in zip(words, got, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}

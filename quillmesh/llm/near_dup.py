@@ -229,17 +229,22 @@ class NearDuplicates:
         return out
 
     def verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) that are links."""
+        """Those of the distinct pairs (a, b) that are links: first by estimate, then on the full sets."""
         side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("low").alias(f"low_{s}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b")
         fits = f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)"
         near = self.ws.save(near.filter(fits).select("a", "b", "low_a", "low_b").mapInArrow(_estimate(self.least), "a long, b long"))
+        out = self.confirmed(near)
+        self.ws.drop(near)
+        return out
+
+    def confirmed(self, near: DataFrame) -> DataFrame:
         ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
         sets = self.ws.save(self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(self.k), "id long, set binary"))
         one = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"set_{s}"))
         links = near.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b")
         out = self.ws.save(links.mapInArrow(_confirm(self.percent), "a long, b long"))
-        self.ws.drop(near, sets)
+        self.ws.drop(sets)
         return out
 
     def apart(self, buckets: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
@@ -298,10 +303,11 @@ class NearDuplicates:
         star = buckets.filter("id != centre")
         links = self.verified(ws.save(star.groupBy("id").agg(F.min("centre").alias("a")).select("a", F.col("id").alias("b"))), reps)
         comp = components(ws, links)
-        for pairs in (self.apart, self.across):
+        # What is compared across components comes by a sharper estimate already.
+        for pairs, check in ((self.apart, lambda p: self.verified(p, reps)), (self.across, self.confirmed)):
             more = pairs(buckets, comp, reps)
             if more.limit(1).count():
-                links = links.union(self.verified(more, reps))
+                links = links.union(check(more))
                 comp = components(ws, links)
             ws.drop(more)
         ws.drop(buckets, reps)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from .common import Workspace, order_prefix, raw, table, tuned
 
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
+#: Texts that are encoded together.
+TOGETHER = 64
 END_ID = 1
 
 
@@ -76,19 +79,21 @@ class WordEncoder:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text, cut at ASCII white space (the library cuts there too)."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.marks.clear()
-        words = [t.split() for t in texts]
-        got = [list(map(self.known.get, w)) for w in words]
-        new: set[bytes] = set()
-        for w, g in zip(words, got, strict=True):
-            if None in g:
-                new.update([x for x, y in zip(w, g, strict=True) if y is None])
-        if new:
-            self.add(list(new))
-        known = self.known
-        return [b"".join([known[x] if y is None else y for x, y in zip(w, g, strict=True)]) if None in g else b"".join(g) for w, g in zip(words, got, strict=True)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), TOGETHER):
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                self.marks.clear()
+            # A few texts at a time: their own words make a small table, quick to look up; the large one is asked once a word.
+            words = [t.split() for t in texts[i : i + TOGETHER]]
+            distinct = list(set(chain.from_iterable(words)))
+            own = dict(zip(distinct, map(self.known.get, distinct), strict=True))
+            new = [w for w, ids in own.items() if ids is None]
+            if new:
+                self.add(new)
+                own.update((w, self.known[w]) for w in new)
+            out += [b"".join(map(own.__getitem__, w)) for w in words]
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -8,3 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name; without sql where SQL can't say it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from .plans import corpus_queries, search_queries  # noqa: F401

@@ -7,15 +7,15 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.python import nfc
 
-DOCUMENT = T.StructType.fromDDL(
+DOCUMENT = (
     "id string, kind string, institution string, rule string, label string, title string, effective string, amended string, status string, body string, "
     "legal_basis array<struct<law:string,article:string,mst:string>>, refs array<struct<target:string,kind:string>>, pages array<int>, supersedes string, table_structured boolean"
 )
+COLUMNS = ("id", "kind", "institution", "rule", "label", "title", "effective", "amended", "status", "body", "legal_basis", "refs", "pages", "supersedes", "table_structured")
 EDGE = "src string, dst string, kind string, meta map<string,string>"
 NODE = "id string, kind string, label string, meta map<string,string>"
 QLOG = "ts string, question string, mode string, app_version string, install_id string, miss boolean, search_miss boolean"
@@ -86,7 +86,7 @@ def parse_documents(files: DataFrame) -> DataFrame:
         block(h, "legal_basis", ("law", "article", "mst"), "law:string,article:string,mst:string").alias("legal_basis"), block(h, "refs", ("target", "type"), "target:string,kind:string").alias("refs"),
         pages.alias("pages"), scalar(h, "supersedes").alias("supersedes"), F.coalesce(scalar(h, "table_structured") == "true", F.lit(False)).alias("table_structured"),
     )
-    return out.withColumn("id", F.concat(X.slugify("rule"), F.lit("#"), "label")).select(*DOCUMENT.names)
+    return out.withColumn("id", F.concat(X.slugify("rule"), F.lit("#"), "label")).select(*COLUMNS)
 
 
 def annex_refs(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ of score, the first being the Viterbi path.
 
 No piece of the vocabulary has a space mark after another character, and none holds a line end, so the lattice falls apart at
 those places: a text's N best are put together from those of its parts. The parts (words, mostly) recur, so each distinct
-one is segmented once for each Python worker; how far its second-best lies behind comes from one more pass.
+one is segmented once for each Python worker; how far its second best lies behind comes with the forward pass.
 """
 
 from __future__ import annotations
@@ -23,12 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tuned
+from .common import mix, table, tuned
 
 SPACE = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 800_000
+#: Texts that are encoded together.
+TOGETHER = 200
+#: Longer parts are segmented one by one.
+COLUMNS = 40
+SLOTS = 1 << 18
+MARKS = ".,!?;:*#$%&"
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _NEVER = float("inf")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -55,6 +62,12 @@ class Pieces:
         self.fallback = min(s for _, s in self.pieces.values() if s > -1e8) - 10
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.pieces):
             raise ValueError("a piece spans a space or a line end; texts can't be cut there")
+        if any(a.isalpha() and b in MARKS for p in self.pieces for a, b in zip(p, p[1:])):  # noqa: B905
+            raise ValueError("a piece spans a letter and a mark; parts can't be cut there")
+        self.scores = {p: s for p, (_, s) in self.pieces.items()}
+        self.code = {p: i.to_bytes(4, "little") for p, (i, _) in self.pieces.items()}
+        self.found: dict[tuple[str, int], list] = {}
+        self._tables = self._hash_tables()
         self.known: dict[str, tuple[bytes, float, float]] = {}
         self.literal = (self._codes(SPACE), self.fallback, _NEVER)
 
@@ -107,35 +120,141 @@ class Pieces:
                 heapq.heappush(queue, (-(best[start] + score + done), next(order), start, done + score, (piece, path)))
         return out
 
+    def alternatives(self, part: str, n: int) -> list[tuple[float, list[str]]]:
+        key = (part, n)
+        if key not in self.found:
+            if len(self.found) >= REMEMBERED // 8:
+                self.found.clear()
+            self.found[key] = self.n_best(part, n)
+        return self.found[key]
+
     def segment(self, part: str) -> tuple[bytes, float, float]:
-        """Ids of the best segmentation (little-endian 32 bits), its score, and how far the second best lies behind."""
-        if part in self.known:
-            return self.known[part]
-        edges = self.edges(part)
-        best, back = self.forward(edges)
-        ids, on, at = [], set(), len(part)
+        """Ids of the best segmentation (little-endian 32 bits), its score, and how far the second best lies behind.
+
+        The forward pass keeps the two best scores of each position. Marks behind a letter are a part of their own: no piece
+        spans the two.
+        """
+        known = self.known
+        if part in known:
+            return known[part]
+        body = part.rstrip(MARKS)
+        if len(body) < len(part) and body[-1:].isalpha():
+            (codes, score, behind), (tail, more, other) = self.segment(body), self.segment(part[len(body) :])
+            known[part] = found = (codes + tail, score + more, min(behind, other))
+            return found
+        get, longest = self.scores.get, self.longest
+        best, second, back = [0.0], [-_NEVER], [0]
+        for end in range(1, len(part) + 1):
+            top = next_ = -_NEVER
+            by = score = None
+            for start in range(end - longest if end > longest else 0, end):
+                score = get(part[start:end])
+                if score is not None:
+                    s = best[start] + score
+                    if s > top:
+                        next_, top, by = top, s, start
+                    elif s > next_:
+                        next_ = s
+                    s = second[start] + score
+                    if s > next_:
+                        next_ = s
+            if score is None:  # no piece for this one character
+                s = best[end - 1] + self.fallback
+                if s > top:
+                    next_, top, by = top, s, end - 1
+                elif s > next_:
+                    next_ = s
+                next_ = max(next_, second[end - 1] + self.fallback)
+            best.append(top)
+            second.append(next_)
+            back.append(by)
+        cut, at = [], len(part)
         while at:
-            e = back[at]
-            on.add((e[0], at))
-            ids.append(e[1])
-            at = e[0]
-        codes = b"".join([self.pieces[p][0].to_bytes(4, "little") if p in self.pieces else self._codes(p) for p in reversed(ids)])
-        # The second best uses an edge off the best path: the best score through each such edge, from the scores of both ends.
-        rest = [-_NEVER] * (len(part) + 1)
-        rest[-1] = 0.0
-        second = -_NEVER
-        for end in range(len(part), 0, -1):
-            r = rest[end]
-            for start, _, score in edges[end]:
-                if (s := r + score) > rest[start]:
-                    rest[start] = s
-                if (start, end) not in on and (s := s + best[start]) > second:
-                    second = s
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[part] = found = (codes, best[-1], best[-1] - second)
+            cut.append(part[back[at] : at])
+            at = back[at]
+        codes = b"".join([self.pieces[p][0].to_bytes(4, "little") if p in self.pieces else self._codes(p) for p in reversed(cut)])
+        known[part] = found = (codes, best[-1], best[-1] - second[-1])
         return found
 
+    def _hash_tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(keys, scores) of hash tables: each holds what collided in the one before."""
+        keys = np.array([self._key(p) for p in self.scores], np.uint64)
+        scores, out = np.array(list(self.scores.values())), []
+        while len(keys):
+            slot = (keys >> np.uint64(8 * len(out))) & np.uint64(SLOTS - 1)
+            _, first = np.unique(slot, return_index=True)
+            k, s = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -_NEVER)
+            k[slot[first]], s[slot[first]] = keys[first], scores[first]
+            out.append((k, s))
+            rest = np.setdiff1d(np.arange(len(keys)), first)
+            keys, scores = keys[rest], scores[rest]
+        return out
+
+    @staticmethod
+    def _key(piece: str) -> int:
+        h = np.uint64(0)
+        with np.errstate(over="ignore"):
+            for c in piece:
+                h = h * _STEP + np.uint64(ord(c))
+            return mix(np.array([h + np.uint64(len(piece))]))[0]
+
+    def _score_of(self, keys: np.ndarray) -> np.ndarray:
+        """Scores of the pieces with these keys; minus infinity for what is no piece."""
+        out = np.full(len(keys), -_NEVER)
+        for i, (known, scores) in enumerate(self._tables):
+            slot = (keys >> np.uint64(8 * i)) & np.uint64(SLOTS - 1)
+            hit = known[slot] == keys
+            out = np.where(hit, scores[slot], out)
+        return out
+
+    def _lattices(self, parts: list[str]) -> None:
+        """segment() for many parts of about one length at a time: the same forward pass, over columns of positions."""
+        size = len(parts[-1])
+        chars = np.array(parts, f"U{size}").view(np.uint32).reshape(len(parts), size).astype(np.uint64)
+        sums = [np.zeros(len(parts), np.uint64)]
+        for i in range(size):
+            sums.append(sums[-1] * _STEP + chars[:, i])
+        power = [np.uint64(pow(int(_STEP), n, 2**64)) for n in range(size + 1)]
+        best, second, back = [np.zeros(len(parts))], [np.full(len(parts), -_NEVER)], [np.zeros(len(parts), np.int8)]
+        for end in range(1, size + 1):
+            top, next_, by = np.full(len(parts), -_NEVER), np.full(len(parts), -_NEVER), np.zeros(len(parts), np.int8)
+            for n in range(min(end, self.longest), 0, -1):
+                score = self._score_of(mix(sums[end] - sums[end - n] * power[n] + np.uint64(n)))
+                if n == 1:
+                    score = np.where(score == -_NEVER, self.fallback, score)
+                s = best[end - n] + score
+                wins = s > top
+                next_ = np.maximum(np.maximum(next_, np.where(wins, top, s)), second[end - n] + score)
+                by[wins] = n
+                top = np.where(wins, s, top)
+            best.append(top)
+            second.append(next_)
+            back.append(by)
+        rows = np.arange(len(parts))
+        ends = np.fromiter(map(len, parts), np.int64, len(parts))
+        final, other = np.array(best)[ends, rows], np.array(second)[ends, rows]
+        steps, code = np.array(back).T.tolist(), self.code
+        for part, by, at, score, behind in zip(parts, steps, ends.tolist(), final.tolist(), (final - other).tolist(), strict=True):
+            cut = []
+            while at:
+                piece = part[at - by[at] : at]
+                cut.append(code.get(piece) or self._codes(piece))
+                at -= by[at]
+            cut.reverse()
+            self.known[part] = (b"".join(cut), score, behind)
+
+    def segment_all(self, parts: list[str]) -> None:
+        """Makes all parts known."""
+        bodies = {p: p.rstrip(MARKS) for p in parts}
+        base = set()
+        for p, body in bodies.items():
+            base.update((body, p[len(body) :]) if len(body) < len(p) and body[-1:].isalpha() else (p,))
+        base = sorted((p for p in base if len(p) <= COLUMNS and p not in self.known), key=len)
+        for i in range(0, len(base), 2048):
+            self._lattices(base[i : i + 2048])
+        for p in parts:
+            self.segment(p)
+
     def parts(self, text: str) -> list[str | None]:
         """Cuts a text where no piece reaches across. None stands for a space mark in the text itself, which goes as bytes."""
         out: list[str | None] = []
@@ -157,24 +276,34 @@ class Pieces:
                     out += [SPACE + w for w in words[1:]]
         return out
 
-    def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
-        """Ids of the best segmentation and the scores of the n best."""
-        known, parts = self.known, self.parts(text)
-        try:
-            found = [known[p] for p in parts]
-        except KeyError:
-            found = [self.literal if p is None else self.segment(p) for p in parts]
-        codes = b"".join([f[0] for f in found])
-        score = sum([f[1] for f in found])
-        behind = np.array([f[2] for f in found])
-        # The n best differ from the best in the n - 1 parts at most whose second best is nearest.
-        some = np.argsort(behind, kind="stable")[: n - 1].tolist()
-        gaps = [0.0]
-        for i in some:
-            if behind[i] < _NEVER:
-                own = self.n_best(parts[i], n)
-                gaps = sorted(g + own[0][0] - o[0] for g in gaps for o in own)[:n]
-        return codes, [score - g for g in gaps]
+    def encode(self, texts: list[str], n: int) -> Iterator[tuple[bytes, list[float]]]:
+        """For each text the ids of its best segmentation and the scores of the n best."""
+        for i in range(0, len(texts), TOGETHER):
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            cut = [self.parts(t) for t in texts[i : i + TOGETHER]]
+            seen = [list(map(self.known.get, parts)) for parts in cut]
+            new: set[str] = set()
+            for parts, found in zip(cut, seen, strict=True):
+                if None in found:
+                    new.update([p for p, f in zip(parts, found, strict=True) if f is None and p is not None])
+            if new:
+                self.segment_all(list(new))
+            for parts, found in zip(cut, seen, strict=True):
+                if None in found:
+                    found = [f or (self.literal if p is None else self.known[p]) for f, p in zip(found, parts, strict=True)]
+                codes = b"".join([f[0] for f in found])
+                score, gaps = sum([f[1] for f in found]), [0.0]
+                behind = [f[2] for f in found]
+                # The n best differ from the best in the n - 1 parts at most whose second best is nearest.
+                for _ in range(min(n - 1, len(behind))):
+                    if (least := min(behind)) == _NEVER:
+                        break
+                    at = behind.index(least)
+                    behind[at] = _NEVER
+                    ways = self.alternatives(parts[at], n)
+                    gaps = sorted(g + ways[0][0] - w[0] for g in gaps for w in ways)[:n]
+                yield codes, [score - g for g in gaps]
 
     def decode(self, codes: bytes) -> str:
         text = b"".join(map(self.table.__getitem__, np.frombuffer(codes, "<i4").tolist()))
@@ -197,7 +326,7 @@ def _encode(path: str, n: int):
         model = model_at(path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            got = [model.encode(t, n) for t in texts]
+            got = list(model.encode(texts, n))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),

@@ -175,9 +175,19 @@ def test_n_best_is_exact(model):
         assert all("".join(p) == part for _, p in model.n_best(part, 6))
 
 
+def test_columns_give_what_single_parts_give(model):
+    rng = random.Random(5)
+    parts = list({("▁" if i % 3 else "") + "".join(rng.choices("aeinrstéßÉ你\t▁,.!x", k=rng.randint(1, 30))) for i in range(3000)})
+    model.known.clear()
+    one = {p: model.segment(p) for p in parts}
+    model.known.clear()
+    model.segment_all(parts)
+    assert {p: model.known[p] for p in parts} == one
+
+
 def test_n_best_of_a_text_is_that_of_its_whole_lattice(model):
     for t in ("the thing", "a  b the", "é\nthe\n\nend ", "one ▁ two"):
-        _, scores = model.encode(t, 5)
+        ((_, scores),) = model.encode([t], 5)
         if "▁" not in t:
             whole = [s for s, _ in model.n_best("▁" + t.replace(" ", "▁"), 5)]
             assert scores == pytest.approx(whole)

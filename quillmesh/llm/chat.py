@@ -24,9 +24,9 @@ BROADCAST_ROWS = 10_000
 
 
 def json_string(x: Column) -> Column:
-    """A string as a JSON string: {"v":"..."} without its wrapping."""
+    """A string as a JSON string: {"v":"..."} without its wrapping; null stays null."""
     wrapped = F.to_json(F.struct(x.alias("v")))
-    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.when(x.isNotNull(), F.substring(wrapped, F.lit(6), F.length(wrapped) - 6))
 
 
 def depths(ws: Workspace, links: DataFrame) -> DataFrame:

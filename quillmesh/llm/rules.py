@@ -36,12 +36,12 @@ class Rule:
 #: Measures are SQL over n_words, word_chars, n_symbols, n_stop, n_marks, n_lines, n_dup_lines, n_repeat_words.
 RULES = (
     Rule("length", "n_words", low=50),
-    Rule("word_length", "word_chars / n_words", low=2, high=20),
-    Rule("symbols", "n_symbols / n_words", high=0.1),
-    Rule("stop_words", "n_stop / n_words", low=0.04),
-    Rule("marks", "n_marks / n_words", high=0.3),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", high=0.5),
-    Rule("repetition", "n_repeat_words / n_words", high=0.5),
+    Rule("word_length", "word_chars / nullif(n_words, 0)", low=2, high=20),
+    Rule("symbols", "n_symbols / nullif(n_words, 0)", high=0.1),
+    Rule("stop_words", "n_stop / nullif(n_words, 0)", low=0.04),
+    Rule("marks", "n_marks / nullif(n_words, 0)", high=0.3),
+    Rule("duplicate_lines", "n_dup_lines / nullif(n_lines, 0)", high=0.5),
+    Rule("repetition", "n_repeat_words / nullif(n_words, 0)", high=0.5),
 )
 
 

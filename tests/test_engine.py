@@ -357,3 +357,91 @@ def test_registry_and_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
+
+
+# Composites
+
+
+def test_graph_gate_and_estimates(spark, corpus):
+    from quillmesh.operators import build
+
+    rows = [("r#1", "article", "i", "r", "active", [("r#2", "준용"), ("민법#제1조", "인용")], [("민법", "제1조", None)], [1, 2]), ("r#2", "article", "i", "r", "", [], [], [])]
+    docs = spark.createDataFrame(rows, "id string, kind string, institution string, rule string, status string, refs array<struct<target:string,kind:string>>, legal_basis array<struct<law:string,article:string,mst:string>>, pages array<int>")
+    g = build.build_graph(docs)
+    assert {(r.id, r.kind, r.unresolved_ref) for r in g["nodes"].collect()} == {("r#1", "Article", False), ("r#2", "Article", False), ("institution:i", "Institution", False), ("rule:i/r", "Rule", False), ("민법#제1조", "LawArticle", True)}
+    report = build.quality_gate(docs, g["nodes"], g["edges"])
+    assert (report["n_documents"], report["external_ref_nodes"], report["n_broken"], report["n_with_basis"]) == (2, 1, 0, 1)
+    with pytest.raises(ValueError, match="unresolved"):
+        build.quality_gate(docs, g["nodes"], g["edges"], max_unresolved=0)
+    with pytest.raises(ValueError, match="n_broken"):
+        build.quality_gate(docs, g["nodes"].filter("kind != 'Rule'"), g["edges"])
+    text = "\n".join("abcdefghij")
+    a = spark.createDataFrame([("r", "", text[:9], text, 1, 2), ("r", text[:10], text, text, 1, 2), ("s", "", "x", "x", 3, 5)], "rule string, text_before string, text_through string, text string, start_page int, end_page int")
+    assert sorted((r.rule, r.first_page, r.last_page) for r in build.estimate_pages(a).collect()) == [("r", 1, 2), ("r", 2, 2), ("s", 3, 5)]
+
+
+def test_verification_run(spark):
+    from quillmesh.operators import build
+
+    pages = spark.createDataFrame([(i, f"쪽 {i} " + " ".join(f"낱말{i}x{k}" for k in range(30))) for i in range(1, 8)], "page int, text string")
+    body = lambda i: " ".join(f"낱말{i}x{k}" for k in range(5, 20))
+    items = spark.createDataFrame([("ok", "i", "r", body(2), 2, 2), ("off", "i", "r", body(5), 3, 3), ("blank", "i", "r", " ", 1, 1)], "item_id string, institution string, rule string, body string, first_page int, last_page int")
+    got = {r.item_id: (r.status, r.actual, r.distance) for r in build.verify_extraction(items, pages).collect()}
+    assert got == {"ok": ("match", None, None), "off": ("mismatch", 5, -2)}
+
+
+def test_vector_refresh_embeds_only_what_changed(spark):
+    from quillmesh.operators import build
+
+    docs = spark.createDataFrame([("a", "article", "r", "t", "x"), ("b", "article", "r", "t", "y")], "id string, kind string, rule string, title string, body string")
+    embed = lambda text: F.array(F.length(text).cast("float"))
+    first = build.refresh_vectors(docs, spark.createDataFrame([], "id string, text_hash string, embedding array<float>"), embed)
+    marked = first.withColumn("embedding", F.array(F.lit(-1.0).cast("float")))
+    changed = docs.withColumn("body", F.when(F.col("id") == "b", "longer").otherwise(F.col("body")))
+    assert {r.id: r.embedding for r in build.refresh_vectors(changed, marked, embed).collect()} == {"a": [-1.0], "b": [10.0]}
+    with pytest.raises(Exception, match="no embedding"):
+        build.refresh_vectors(docs, first.filter(F.lit(False)), lambda t: F.array().cast("array<float>")).collect()
+
+
+def test_states_and_exports(spark):
+    from quillmesh.operators import build
+
+    p = spark.createDataFrame([("a", True, False, True, True), ("b", True, True, False, False)], "institution string, installed boolean, stale boolean, vectors_enabled boolean, vectors_ready boolean")
+    row = build.pack_status(p).head()
+    assert (row.installed, row.stale, row.model_ready) == (True, True, True)
+    row = build.pack_status(p.filter(F.lit(False))).head()
+    assert (row.installed, row.stale, row.model_ready) == (False, True, False)
+    c = spark.createDataFrame([("1", " ")], "id string, title string")
+    m = spark.createDataFrame([("m2", "1", "assistant", "b", "t2"), ("m1", "1", "user", "a", "t1")], "id string, conversation_id string, role string, content string, created_at string")
+    assert build.export_markdown(c, m).head().text == "# 새 대화\n\n## user\n\na\n\n## assistant\n\nb"
+    assert build.trace_context(spark.createDataFrame([("m2",)], "message_id string"), m).head().question == "a"
+    row = build.telemetry(spark.createDataFrame([("telemetry_consent", "yes"), ("shared_dir", " ")], "key string, value string")).head()
+    assert (row.consent, row.shared_dir) == (None, None)
+    e = spark.createDataFrame([(0, "a", 1, "late"), (0, "a", 0, "first"), (0, "b", 0, None)], "query_id int, institution string, variant_no int, error string")
+    assert [(r.institution, r.error) for r in build.error_rows(e).collect()] == [("a", "first")]
+
+
+def test_archives_and_bare_folders(spark, tmp_path):
+    import io
+    import tarfile
+
+    import zstandard
+
+    from quillmesh.sources import archives
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/sub/a.md").write_text(ARTICLE)
+    archives.pack(f"{tmp_path}/in", f"{tmp_path}/x.tar.zst")
+    assert archives.unpack(f"{tmp_path}/x.tar.zst", f"{tmp_path}/out") == ["sub/a.md"]
+    pack = archives.resolve(spark, f"file://{tmp_path}/out", "cni")
+    assert (pack["manifest"]["effective_date"], pack["manifest"]["source_commit"], pack["articles"].count()) == ("2026-02-27", "bare-dir", 1)
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as tar:
+        info = tarfile.TarInfo("../evil")
+        tar.addfile(info, io.BytesIO(b""))
+    (tmp_path / "evil.tar.zst").write_bytes(zstandard.ZstdCompressor().compress(raw.getvalue()))
+    with pytest.raises(ValueError, match="unsafe"):
+        archives.unpack(f"{tmp_path}/evil.tar.zst", f"{tmp_path}/out2")
+    files = spark.createDataFrame([("p", "---\nrule: 복무규정\n  x: y\npages: [1, 2]\n---\n본문  글"), ("q", "그냥")], "path string, text string")
+    got = {r.path: (r.rule, r.pages, r.body) for r in archives.lenient_head(files, ("rule",)).collect()}
+    assert got == {"p": ("복무규정", [1, 2], "본문 글"), "q": (None, [], "그냥")}

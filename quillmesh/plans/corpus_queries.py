@@ -107,10 +107,10 @@ def active_filter(spark, sf):
     return a.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'order:' || o_orderkey AS id, 'law' || l_linenumber AS law, l_partkey::VARCHAR AS article FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0""")
+@query("""SELECT 'order:' || o_orderkey AS id, 'law' || l_linenumber AS law, l_partkey::VARCHAR AS article FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def legal_basis_explode(spark, sf):
     """F8: the legal bases of documents, one row each."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 10 = 0")
+    li = table(spark, sf, "lineitem")
     item = F.struct(F.concat(F.lit("law"), F.col("l_linenumber").cast("string")).alias("law"), F.col("l_partkey").cast("string").alias("article"))
     docs = li.groupBy("l_orderkey").agg(F.collect_list(item).alias("legal_basis")).select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("id"), "legal_basis")
     known = table(spark, sf, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"))
@@ -181,11 +181,11 @@ def unresolved_refs(spark, sf):
     return A.unresolved(e, c).select("src", "dst")
 
 
-@query("""WITH d AS (SELECT 'order:' || o_orderkey AS src, 'part:' || o_custkey AS x, o_orderkey FROM orders WHERE o_orderkey % 5 = 0)
+@query("""WITH d AS (SELECT 'order:' || o_orderkey AS src, 'part:' || o_custkey AS x, o_orderkey FROM orders)
 SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN '근로기준법#제' || o_orderkey % 9 || '조' ELSE '규정#제' || o_orderkey % 9 || '조' END AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'LawArticle' ELSE 'Article' END AS kind, TRUE AS unresolved_ref FROM d""")
 def external_nodes(spark, sf):
     """Placeholder nodes for targets without a document."""
-    o = table(spark, sf, "orders").filter("o_orderkey % 5 = 0")
+    o = table(spark, sf, "orders")
     name = F.when(F.col("o_orderkey") % 2 == 0, "근로기준법").otherwise("규정")
     target = F.concat(name, F.lit("#제"), (F.col("o_orderkey") % 9).cast("string"), F.lit("조"))
     docs = o.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"), F.array(F.struct(target.alias("target"), F.lit("준용").alias("kind"))).alias("refs"), F.array().cast("array<struct<law:string,article:string>>").alias("legal_basis"))
@@ -224,7 +224,8 @@ def toc_end_page(spark, sf):
 
 @query("""WITH g AS (SELECT l_suppkey AS document, l_linenumber AS page, l_returnflag AS profile, count(*) AS n FROM lineitem GROUP BY ALL),
 full_ AS (SELECT d.document, p.page::INTEGER AS page, f.profile, coalesce(g.n, 0) AS n FROM (SELECT DISTINCT document FROM g) d, unnest(range(1, 8)) p(page), (SELECT DISTINCT profile FROM g) f LEFT JOIN g ON g.document = d.document AND g.page = p.page AND g.profile = f.profile),
-r AS (SELECT a.document, a.profile, a.page AS s, b.page AS e, (SELECT sum(n) FROM full_ c WHERE c.document = a.document AND c.profile = a.profile AND c.page BETWEEN a.page AND b.page) AS total FROM full_ a JOIN full_ b ON a.document = b.document AND a.profile = b.profile AND a.page <= b.page WHERE a.document <= 40)
+c AS (SELECT *, sum(n) OVER (PARTITION BY document, profile ORDER BY page) AS upto FROM full_),
+r AS (SELECT a.document, a.profile, a.page AS s, b.page AS e, b.upto - a.upto + a.n AS total FROM c a JOIN c b ON a.document = b.document AND a.profile = b.profile AND a.page <= b.page)
 SELECT document, s AS start, e AS "end", total::BIGINT AS total FROM r WHERE total > 0 QUALIFY row_number() OVER (PARTITION BY document ORDER BY total DESC, e - s, s DESC) = 1""")
 def toc_range_search(spark, sf):
     """The page range and profile with most matches."""
@@ -232,7 +233,7 @@ def toc_range_search(spark, sf):
     g = li.groupBy(F.col("l_suppkey").alias("document"), F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("profile")).agg(F.count("*").alias("n"))
     grid = li.select(F.col("l_suppkey").alias("document")).distinct().withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(7)))).crossJoin(F.broadcast(li.select(F.col("l_returnflag").alias("profile")).distinct()))  # three flags
     g = grid.join(g, ["document", "page", "profile"], "left").na.fill(0, ["n"])
-    return S.best_range(g.filter("document <= 40"), "document", "page", "profile", "n")
+    return S.best_range(g, "document", "page", "profile", "n")
 
 
 @query("""WITH p AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations WHERE length(text) > 0) SELECT conv_id, turn, coalesce(sum(n + 1) OVER w, 0)::BIGINT AS start, (coalesce(sum(n + 1) OVER w, 0) + n)::BIGINT AS "end" FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
@@ -303,7 +304,7 @@ def extract_refs(spark, sf):
     """References of texts."""
     from ..operators.extract import parse_rules
 
-    d = table(spark, sf, "documents").select(F.col("source").alias("document"), F.col("doc_id").cast("string").alias("code"), F.concat(F.col("source"), F.lit("규정")).alias("rule"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"), F.concat(F.lit("제1조(목적) 「근로기준법」 제60조에 따라 "), F.col("source"), F.lit("규정 제2조의3을 준용한다. "), F.substring("text", 1, 2000), F.lit("\n제2조(용어) 별표 1에 따른다.")).alias("text"), F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(100000).alias("end"))).alias("spans"))
+    d = table(spark, sf, "documents").select(F.col("source").alias("document"), F.col("doc_id").cast("string").alias("code"), F.concat(F.col("source"), F.lit("규정")).alias("rule"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"), F.concat(F.lit("제1조(목적) 「근로기준법」 제60조에 따라 "), F.col("source"), F.lit("규정 제2조의3을 준용한다. "), F.col("text"), F.lit("\n제2조(용어) 별표 1에 따른다.")).alias("text"), F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(100000).alias("end"))).alias("spans"))
     out = parse_rules(d)
     return out.select("code", "kind", "label", "title", F.array_join(F.transform("refs", lambda r: F.concat(r["target"], F.lit(":"), r["kind"])), ";").alias("refs"))
 
@@ -367,13 +368,13 @@ def coverage(spark, sf):
     return A.coverage(o, o.filter("l_quantity > 25"), o.filter("page < 3").select("document", "page"))
 
 
-@query("""WITH r AS (SELECT source AS rule, min(doc_id) AS a, min(doc_id) + 12 AS b FROM documents GROUP BY source), n AS (SELECT source AS rule, count(*) AS n FROM documents WHERE lang = 'es' AND doc_id % 8 = 0 GROUP BY source)
-SELECT r.rule, coalesce(n, 0)::BIGINT AS n_articles FROM r LEFT JOIN n USING (rule) WHERE coalesce(n, 0) <= 3""")
+@query("""WITH r AS (SELECT source AS rule, min(doc_id) AS a, min(doc_id) + 12 AS b FROM documents GROUP BY source), n AS (SELECT source AS rule, count(*) AS n FROM documents WHERE lang = 'es' GROUP BY source)
+SELECT r.rule, coalesce(n, 0)::BIGINT AS n_articles FROM r LEFT JOIN n USING (rule) WHERE coalesce(n, 0) <= 12""")
 def suspicious(spark, sf):
     """Long rules with few articles."""
     d = table(spark, sf, "documents")
     rules = d.groupBy(F.col("source").alias("rule")).agg(F.min("doc_id").alias("start_page"), (F.min("doc_id") + 12).alias("end_page"))
-    return A.suspicious(rules, d.filter("lang = 'es' and doc_id % 8 = 0").select(F.col("source").alias("rule"))).select("rule", "n_articles")
+    return A.suspicious(rules, d.filter("lang = 'es'").select(F.col("source").alias("rule")), few=12).select("rule", "n_articles")
 
 
 @query("""WITH h AS (SELECT source AS rule, lang AS key, doc_id AS position FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY rule, key ORDER BY position) AS occurrence FROM h)
@@ -403,10 +404,11 @@ def token_overlap(spark, sf):
 
 @query()
 def similarity_score(spark, sf):
-    """Similarity of neighbouring texts and its verdict."""
+    """Similarity of a question and its answer, and the verdict."""
     from ..functions.python import similarity
 
-    s = _pairs(spark, sf).select("pair_id", similarity(F.substring("expected", 1, 400), F.substring("actual", 1, 400)).alias("score"))
+    c = S.previous_by_role(table(spark, sf, "conversations"), "conv_id", "turn").filter("role = 'assistant' and previous is not null")
+    s = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), similarity("previous", "text").alias("score"))
     return s.select("pair_id", F.round("score", 4).alias("score"), A.verdict(F.col("score")).alias("status"))
 
 
@@ -461,15 +463,15 @@ def dup_hash(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-_QLOG = r"q AS (SELECT conv_id * 1000 + turn AS ord, text AS question, conv_id % 4 = 0 AS miss, trim(regexp_replace(regexp_replace(lower(left(text, 6)), '[^\p{L}\p{M}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM conversations WHERE role = 'user')"
+_QLOG = r"q AS (SELECT conv_id * 1000 + turn AS ord, text AS question, conv_id % 4 = 0 AS miss, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM conversations WHERE role = 'user')"
 
 
 def _qlog(spark, sf):
     c = table(spark, sf, "conversations").filter("role = 'user'")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.left("text", F.lit(6)).alias("question"), (F.col("conv_id") % 4 == 0).alias("miss"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("question"), (F.col("conv_id") % 4 == 0).alias("miss"))
 
 
-@query(f"WITH {_QLOG} SELECT key, count(*)::BIGINT AS n, min(ord)::BIGINT AS first_ord, left(arg_min(question, ord), 6) AS example, count_if(miss)::BIGINT AS misses FROM q WHERE key <> '' GROUP BY key")
+@query(f"WITH {_QLOG} SELECT key, count(*)::BIGINT AS n, min(ord)::BIGINT AS first_ord, arg_min(question, ord) AS example, count_if(miss)::BIGINT AS misses FROM q WHERE key <> '' GROUP BY key")
 def qlog_top(spark, sf):
     """Questions by normal form."""
     return A.top_questions(_qlog(spark, sf))
@@ -563,7 +565,7 @@ def log_stream_counts(spark, sf):
     from ..streaming import logs
 
     root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmesh-")).rstrip("/") + "/stream-" + tempfile.mktemp(dir="").strip("/")
-    q = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("conv_id").cast("string").alias("ts"), F.left("text", F.lit(6)).alias("question"), (F.col("conv_id") % 4 == 0).alias("miss"))
+    q = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("conv_id").cast("string").alias("ts"), F.col("text").alias("question"), (F.col("conv_id") % 4 == 0).alias("miss"))
     q.write.json(f"{root}/in")
     stream = spark.readStream.schema("ts string, question string, miss boolean").json(f"{root}/in")
     keyed = stream.select("miss", X.normalize_question("question").alias("key")).filter("key != ''")

@@ -88,7 +88,7 @@ def search_rule_route(spark, sf):
     return out(R.rule_route(*_rule_questions(spark, sf), K))
 
 
-_VEC = """q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 10),
+_VEC = """q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, 'v' || vec_id AS id, list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS score FROM embeddings, q{w}),
 vector_route AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM s WHERE score IS NOT NULL QUALIFY rank < 20)"""
 
@@ -96,7 +96,7 @@ vector_route AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY que
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
     v = e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), "embedding", "label")
-    return v, e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return v, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"WITH {_VEC.format(w='')} {_OUT} vector_route")
@@ -140,14 +140,14 @@ def _refs(spark, sf):
     """Articles labelled 제N조 and annexes, and questions that point at some of them."""
     a = articles(spark, sf).withColumn("label", F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조"))).withColumn("id", F.concat("rule", F.lit("#"), "label"))
     x = annexes(spark, sf)
-    qa = a.filter(F.col("doc_id") % 7 == 0).select(F.col("doc_id").alias("query_id"), F.concat(F.col("rule"), F.lit("상 "), F.col("label"), F.lit("는 무엇인가?")).alias("q"))
-    missing = a.filter(F.col("doc_id") % 97 == 0).select((F.col("doc_id") + 1000000).alias("query_id"), F.concat(F.col("rule"), F.lit(" 제999999조는?")).alias("q"))
-    qx = x.filter(F.col("page_id") % 5 == 0).select((F.col("page_id") + 2000000).alias("query_id"), F.concat(F.col("rule"), F.lit(" 별표 "), F.col("page_id").cast("string"), F.lit(" 기준")).alias("q"))
+    qa = a.select(F.col("doc_id").alias("query_id"), F.concat(F.col("rule"), F.lit("상 "), F.col("label"), F.lit("는 무엇인가?")).alias("q"))
+    missing = a.select((F.col("doc_id") + 1000000000).alias("query_id"), F.concat(F.col("rule"), F.lit(" 제999999조는?")).alias("q"))
+    qx = x.select((F.col("page_id") + 2000000000).alias("query_id"), F.concat(F.col("rule"), F.lit(" 별표 "), F.col("page_id").cast("string"), F.lit(" 기준")).alias("q"))
     return a, x, qa.union(missing).union(qx)
 
 
 _PINS = f"""WITH {ARTICLES}, {ANNEXES}, a AS (SELECT doc_id, rule || '#제' || doc_id || '조' AS id FROM articles),
-pins AS (SELECT doc_id AS query_id, id FROM a WHERE doc_id % 7 = 0 UNION ALL SELECT page_id + 2000000, id FROM annexes WHERE page_id % 5 = 0)"""
+pins AS (SELECT doc_id AS query_id, id FROM a UNION ALL SELECT page_id + 2000000000, id FROM annexes)"""
 
 
 @query(f"{_PINS} SELECT query_id, id FROM pins")
@@ -185,12 +185,12 @@ def multi_pack_merge(spark, sf):
     return out(R.merge_packs(R.ranked(hits, K, ("query_id", "institution")), K))
 
 
-@query("""WITH q AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'rules of ' || source ELSE 'rules of all' END AS q FROM documents WHERE doc_id % 10 = 0), packs AS (SELECT DISTINCT source AS institution FROM documents),
+@query("""WITH q AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'rules of ' || source ELSE 'rules of all' END AS q FROM documents), packs AS (SELECT DISTINCT source AS institution FROM documents),
 n AS (SELECT query_id, institution FROM q JOIN packs ON contains(replace(q, ' ', ''), institution)) SELECT * FROM n UNION ALL SELECT query_id, institution FROM q, packs WHERE query_id NOT IN (SELECT query_id FROM n)""")
 def pack_routing(spark, sf):
     """institutions that a question names by an alias; all if it names none."""
     d = table(spark, sf, "documents")
-    q = d.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("rules of "), "source")).otherwise("rules of all").alias("q"))
+    q = d.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("rules of "), "source")).otherwise("rules of all").alias("q"))
     return R.route_packs(d.select(F.col("source").alias("institution")).distinct().withColumn("aliases", F.array("institution")), q)
 
 

@@ -191,23 +191,22 @@ def repeated_ranges(docs: DataFrame, ws: Workspace, window: int = 20) -> DataFra
     """(_id, _th, ranges): for each document with repeated windows, the (start, n) of runs of them."""
     repeated, wanted = _whole(docs, ws, window)
     parts = [repeated, _sorted(docs, ws, wanted, window), _dealt(docs, ws, wanted, window)]
-    every = parts[0].union(parts[1]).union(parts[2])
+    every = repeated.filter("later").drop("later").union(parts[1]).union(parts[2])
     out = ws.save(every.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "n")).alias("ranges")))
     ws.drop(*parts, wanted)
     return out
 
 
 def _later(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Places of strings that occur earlier too; and each string's first place."""
-    strings = ws.save(rows.groupBy("low", "string").agg(F.min(F.struct("_id", "start", "_th", "n")).alias("first"), F.count("*").alias("c")))
-    twice = ws.save(strings.filter("c > 1").select("low", "string", F.col("first._id").alias("f_id"), F.col("first.start").alias("f_start")))
-    repeated = ws.save(rows.join(twice, ["low", "string"]).filter("_id != f_id or start != f_start").select("_id", "_th", "start", "n"))
-    ws.drop(twice)
-    return repeated, strings
+    """Each place with its string's verdict: later (the string occurs earlier too) or not; and each string's first place."""
+    strings = ws.save(rows.groupBy("low", "string").agg(F.min(F.struct("_id", "start", "_th", "n")).alias("first")))
+    first = strings.select("low", "string", F.col("first._id").alias("f_id"), F.col("first.start").alias("f_start"))
+    later = (F.col("_id") != F.col("f_id")) | (F.col("start") != F.col("f_start"))
+    return ws.save(rows.join(first, ["low", "string"]).select("_id", "_th", "start", "n", later.alias("later"))), strings
 
 
 def _whole(docs: DataFrame, ws: Workspace, window: int) -> tuple[DataFrame, DataFrame]:
-    """Super-k-mers whose string occurs earlier; and by document those whose windows need a closer look."""
+    """Super-k-mers, with whether their string occurs earlier; and by document those whose windows need a closer look."""
     every = ws.save(docs.select("_id", "_th", "text").mapInArrow(_census(window, MINIMISER), "low long, string long, " + _PLACE))
     often = ws.save(every.groupBy("low").agg(F.count("*").alias("c")).filter("c > 1").select("low"))
     some = ws.save(every.join(often, "low"))
@@ -237,9 +236,10 @@ def _dealt(docs: DataFrame, ws: Workspace, wanted: DataFrame, window: int) -> Da
     if not wanted.filter(F.exists("wanted", lambda w: w["large"])).limit(1).count():
         return wanted.sparkSession.createDataFrame([], _PLACE)
     rows = ws.save(_texts(docs, wanted, True).mapInArrow(_singles(window), "low long, string long, " + _PLACE))
-    repeated, strings = _later(rows, ws)
-    ws.drop(rows, strings)
-    return repeated
+    placed, strings = _later(rows, ws)
+    out = ws.save(placed.filter("later").drop("later"))
+    ws.drop(rows, strings, placed)
+    return out
 
 
 def _strip(window: int, passed: tuple[str, ...]):

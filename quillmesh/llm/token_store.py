@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, order_prefix, raw, table, tuned
 
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_400_000
 #: Texts that are encoded together.
 TOGETHER = 64
 END_ID = 1

@@ -45,7 +45,6 @@ class Workspace:
             where = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
             spark.conf.set("spark.checkpoint.dir", where)
         self.root = f"{where.rstrip('/')}/quillmesh-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
         self._n = 0
 
     def path(self) -> str:
@@ -56,12 +55,12 @@ class Workspace:
         path = self.path()
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        out.__dict__["_stored_at"] = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            if path := self._paths.pop(id(df), None):
+            if path := df.__dict__.pop("_stored_at", None):
                 at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         self.release()

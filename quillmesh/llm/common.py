@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,18 @@ class Workspace:
         self.spark._jvm.System.gc()
 
 
+#: What operators remember in a Python worker across tasks: a function that forgets it, by operator.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def enter(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Called where an operator's work in a Python worker begins: the worker forgets what other operators have left."""
+    for name in [n for n in _remembered if n != operator]:
+        _remembered.pop(name)()
+    if forget is not None:
+        _remembered[operator] = forget
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of the 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * _C1

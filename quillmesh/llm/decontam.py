@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table, tuned
+from .common import enter, mix, table, tuned
 
 MASKS = ("111011011", "11010010111", "11001110011", "111111001")
 WORDS, SUBSTITUTIONS = 13, 2
@@ -105,6 +105,7 @@ def aligned(item: np.ndarray, h: np.ndarray, shift: int) -> int:
 
 def _search(items: list[tuple[int | None, str | None]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontam")
         index = Index(items)
         for b in batches:
             ids, most, n = [], [], []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, raw, run_hashes, table, tuned, word_hashes
+from .common import Workspace, enter, mix, raw, run_hashes, table, tuned, word_hashes
 
 #: Signature coordinates at most, and the chance to miss a pair that lies exactly at the threshold.
 COORDINATES, MISS = 192, 1e-6
@@ -73,6 +73,7 @@ def _profile(k: int, rows: int, bands: int):
     """Per document: set size, set digest, band hashes, and the low byte of each coordinate for quick estimates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dup")
         for b in batches:
             sizes, keys, sigs = [], [], []
             for text in raw(b.column("text")):

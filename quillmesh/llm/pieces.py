@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table, tuned
+from .common import enter, mix, table, tuned
 
 SPACE = "▁"
 REMEMBERED = 800_000
@@ -313,6 +313,10 @@ class Pieces:
 _models: dict[str, Pieces] = {}
 
 
+def forget() -> None:
+    _models.clear()
+
+
 def model_at(path: str) -> Pieces:
     """One for each Python worker, across tasks."""
     if path not in _models:
@@ -323,6 +327,7 @@ def model_at(path: str) -> Pieces:
 
 def _encode(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pieces", forget)
         model = model_at(path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]

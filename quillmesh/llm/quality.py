@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, table, tuned
+from .common import enter, raw, table, tuned
 
 BUCKETS, WIDTH = 1 << 18, 16
 #: Labelled rows to learn from, at most: those whose hashed doc_id is least.
@@ -118,6 +118,7 @@ class Scorer:
 
 def _score(weights: np.ndarray, bias: float, passed: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         scorer = Scorer(weights, bias)
         for b in batches:
             z = np.array([scorer.logit(t) for t in raw(b.column("text"))])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, raw, row_key, run_hashes, table, tuned, word_hashes
+from .common import Workspace, enter, mix, raw, row_key, run_hashes, table, tuned, word_hashes
 
 MINIMISER = 6
 SPLIT = 4096
@@ -77,6 +77,7 @@ def _powers(n: int) -> list[np.ndarray]:
 
 def _census(window: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring")
         for b in batches:
             found = [super_kmers(word_hashes((t or b"").split()), window, m) for t in raw(b.column("text"))]
             sizes = [len(f[0]) for f in found]

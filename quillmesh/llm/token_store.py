@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, order_prefix, raw, table, tuned
+from .common import Workspace, enter, order_prefix, raw, table, tuned
 
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 1_400_000
@@ -99,6 +99,10 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def forget() -> None:
+    _encoders.clear()
+
+
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker, across tasks."""
     if path not in _encoders:
@@ -113,6 +117,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token_store", forget)
         enc = encoder(tokenizer)
         for b in batches:
             got = [x + end for x in enc.ids([t or b"" for t in raw(b.column("text"))])]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, table, tuned
+from .common import enter, raw, table, tuned
 from .quality import held_out, labelled
 
 BUCKETS = 1 << 20
@@ -165,6 +165,7 @@ def _score(weights: np.ndarray, bias: float):
     sparse = (some.astype(np.int32), weights[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         full = np.zeros(BUCKETS, np.float32)
         full[sparse[0]] = sparse[1]
         scorer = Scorer(full, bias)

@@ -52,6 +52,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 6), " ").alias("q"))
 
 
+def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark: the whole text of an item as a question."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+
+
 QUESTIONS = r"""questions AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:6], ' ') AS q FROM benchmark)"""
 
 #: Terms of a question, as functions.text.query_terms makes them of text without Korean endings.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.python import similarity
 from . import audit as A
+from . import extract as E
 from . import graph as G
 from . import sequence as S
 
@@ -27,6 +28,41 @@ def estimate_pages(articles: DataFrame) -> DataFrame:
     return out.withColumn("last_page", F.when(alone, F.col("end_page")).otherwise(F.greatest("first_page", last)).cast("int"))
 
 
+def build_rules(pages: DataFrame, effective: str | None = None, footers: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """From page texts (document, page, text) to documents, with the build's gates: a document without rules or articles fails.
+
+    rules: entries of the contents; parts: articles and annexes with id; no_articles: rules without any; ambiguous_basis: first
+    articles (제1조) without a legal basis; table_review: articles whose tables need a look; skipped: repeated headings;
+    coverage: pages that parts cover, without those of the contents; suspicious: long rules with few articles.
+    """
+    rules = E.toc_entries(pages)
+    _gate(pages, rules, "rules")
+    texts = E.rule_texts(rules, pages, footers)
+    names = rules.groupBy("document").agg(F.array_sort(F.collect_set("rule")).alias("known"))
+    parts = E.parse_rules(texts.join(names, "document"), effective=effective).withColumn("id", F.concat(X.slugify("rule"), F.lit("#"), "label"))
+    articles = parts.filter("kind = 'article'")
+    _gate(pages, articles, "articles")
+    by = ["document", "code"]
+    place = F.struct("document", "code").alias("rule")
+    key = X.article_key(F.regexp_extract("h", E.ARTICLE, 1), F.regexp_extract("h", E.ARTICLE, 2))
+    heads = texts.select(place, F.posexplode(F.regexp_extract_all("text", F.lit(E.ARTICLE), F.lit(0))).alias("position", "h")).withColumn("key", key)
+    each = lambda df, a, b: df.select("document", F.explode(F.sequence(a, b)).alias("page"))
+    contents = each(E.toc_range(pages, E.toc_lines(pages)), F.col("start"), F.col("end"))
+    return {
+        "rules": rules, "parts": parts, "no_articles": rules.join(articles.select(*by).distinct(), by, "left_anti"),
+        "ambiguous_basis": articles.filter((F.col("label") == "제1조") & (F.size("legal_basis") == 0)), "table_review": articles.filter(X.table_sensitive("body")),
+        "skipped": A.skipped_headings(heads, articles.select(place, F.col("label").alias("key"))).select("rule.*", "key", "position"),
+        "coverage": A.coverage(each(rules, F.col("start_page"), F.col("end_page")), each(parts, F.get("pages", F.lit(0)), F.get("pages", F.lit(1))), contents),
+        "suspicious": A.suspicious(rules.withColumn("rule", place), articles.select(place)).select("rule.*", "start_page", "end_page", "n_articles"),
+    }
+
+
+def _gate(pages: DataFrame, made: DataFrame, what: str) -> None:
+    lost = pages.select("document").distinct().join(made.select("document").distinct(), "document", "left_anti").agg(F.count("*").alias("n"), F.min("document").alias("one")).head()
+    if lost["n"] or not made.limit(1).count():
+        raise ValueError(f"0 {what}: {lost['n']} documents, {lost['one']}")
+
+
 def build_graph(docs: DataFrame) -> dict[str, DataFrame]:
     """nodes (id, kind, unresolved_ref) and edges of a pack: containment, references, legal bases, placeholders."""
     edges = G.dedup_edges(G.containment_edges(docs).unionByName(G.document_edges(docs)))

@@ -299,16 +299,28 @@ def latest_date(spark, sf):
     return o.select("o_orderkey", X.latest_date(text).alias("latest"))
 
 
+def _rule_texts(spark, sf):
+    """Documents as texts of rules: a first article with a legal basis in front, a second one behind."""
+    return table(spark, sf, "documents").select(F.col("source").alias("document"), F.col("doc_id").cast("string").alias("code"), F.concat(F.col("source"), F.lit("규정")).alias("rule"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"), F.concat(F.lit("제1조(목적) 「근로기준법」 제60조에 따라 "), F.col("source"), F.lit("규정 제2조의3을 준용한다. "), F.col("text"), F.lit("\n제2조(용어) 별표 1에 따른다.")).alias("text"), F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(100000).alias("end"))).alias("spans"))
+
+
 @query()
 def extract_refs(spark, sf):
     """References of texts."""
     from ..operators.extract import parse_rules
 
-    d = table(spark, sf, "documents").select(F.col("source").alias("document"), F.col("doc_id").cast("string").alias("code"), F.concat(F.col("source"), F.lit("규정")).alias("rule"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"), F.concat(F.lit("제1조(목적) 「근로기준법」 제60조에 따라 "), F.col("source"), F.lit("규정 제2조의3을 준용한다. "), F.col("text"), F.lit("\n제2조(용어) 별표 1에 따른다.")).alias("text"), F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(100000).alias("end"))).alias("spans"))
-    out = parse_rules(d)
+    out = parse_rules(_rule_texts(spark, sf))
     return out.select("code", "kind", "label", "title", F.array_join(F.transform("refs", lambda r: F.concat(r["target"], F.lit(":"), r["kind"])), ";").alias("refs"))
 
 
+@query()
+def extract_legal_basis(spark, sf):
+    """The legal bases of parsed texts, one row each."""
+    from ..operators.extract import parse_rules
+
+    return D.legal_basis(parse_rules(_rule_texts(spark, sf)).withColumn("id", F.concat("code", F.lit("#"), "label")))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN left(sha256('!!!'), 12) ELSE regexp_replace(regexp_replace(source || ' ' || lang || ' / A-1. rules!', '\\s+', '', 'g'), '[^A-Za-z0-9_.-]+', '', 'g') END AS slug FROM documents")
 def slugify(spark, sf):
     """Names without spaces and signs."""

@@ -39,7 +39,7 @@ def out(df: DataFrame, *more: str) -> DataFrame:
 
 
 def _views(spark: SparkSession, sf: str, asked=questions) -> tuple[DataFrame, DataFrame]:
-    return articles(spark, sf), asked(spark, sf)
+    return articles(spark, sf, None if asked is whole_questions else 80), asked(spark, sf)
 
 
 @query(f"WITH {QUESTIONS}, {TERMS} SELECT query_id, string_agg(t, '|' ORDER BY p) AS terms, count(*)::BIGINT AS n FROM terms GROUP BY query_id")
@@ -261,7 +261,7 @@ def sweep_grid(spark, sf, asked=questions):
 
 
 def _whole(f):
-    """Registers a query once more, with whole benchmark items as questions; the SQL asks their first six words only."""
+    """Registers a query once more, with whole benchmark items as questions and whole first lines as titles; the SQL has six words and 80 characters only."""
 
     def run(spark, sf):
         return f(spark, sf, whole_questions)

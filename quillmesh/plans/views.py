@@ -10,14 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents: institution = lang, rule = source, label = doc_id, title = first line, status from labels.quality."""
+def articles(spark: SparkSession, sf_dir: str, title_chars: int | None = 80) -> DataFrame:
+    """documents: institution = lang, rule = source, label = doc_id, title = first line (of title_chars at most), status from labels.quality."""
+    line = F.substring_index("text", "\n", 1)
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     status = F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "repealed").otherwise("")
     month = F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0")
     return d.join(q, "doc_id", "left").select(
         "doc_id", F.concat("source", F.lit("#"), F.col("doc_id").cast("string")).alias("id"), F.lit("article").alias("kind"), F.col("lang").alias("institution"), F.col("source").alias("rule"),
-        F.col("doc_id").cast("string").alias("label"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("body"), status.alias("status"),
+        F.col("doc_id").cast("string").alias("label"), (line if title_chars is None else F.substring(line, 1, title_chars)).alias("title"), F.col("text").alias("body"), status.alias("status"),
         F.concat(F.lit("2025-"), month, F.lit("-01")).alias("effective"),
     )
 

@@ -20,7 +20,7 @@ def model(spark):
     """(documents by id, terms of each whole item)."""
     if not os.path.isdir(SF):
         pytest.skip("no driver tables here")
-    docs = {r.id: r for r in articles(spark, SF).collect()}
+    docs = {r.id: r for r in articles(spark, SF, None).collect()}
     return docs, {r.item_id: terms(r.text) for r in table(spark, SF, "benchmark").collect()}
 
 
@@ -91,3 +91,10 @@ def test_lexical_and_fusion_ask_the_whole_item(spark, model):
 def test_every_query_with_questions_has_a_whole_form():
     names = {n.removesuffix("_whole") for n in registry.QUERIES if n.endswith("_whole")}
     assert names == set("query_terms search_bm25 post_filter_topk search_lexical pre_filter_topk rrf_fuse rrf_weighted search_hybrid_topk multi_pack_merge compare_rules body_budget snippet eval_hits sweep_grid".split())
+
+
+def test_titles_are_whole_first_lines(spark, model):
+    lines = {r.doc_id: (r.text or "").split("\n")[0] for r in table(spark, SF, "documents").collect()}
+    assert {d.doc_id: d.title or "" for d in model[0].values()} == lines and max(map(len, lines.values())) > 80
+    hits = registry.QUERIES["search_hybrid_topk_whole"](spark, SF).collect()
+    assert all(r.title == model[0][r.id].title for r in hits) and any(len(r.title) > 80 for r in hits)

@@ -83,7 +83,10 @@ def fold(messages: DataFrame, key: str, order: str, text: str, sep: str = "") ->
 
 
 def best_range(counts: DataFrame, document: str, page: str, profile: str, n: str, last: int = 30) -> DataFrame:
-    """The page range whose best profile matches most lines; the shortest, then the latest start. Prefix sums, `last` pages at most."""
+    """The page range whose best profile matches most lines; the shortest, then the latest start. Prefix sums, `last` pages at most.
+
+    A document without any match has pages 3 to 5 and a total of 0.
+    """
     w = Window.partitionBy(document, profile).orderBy(page).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     some = counts.filter(F.col(page) <= last)
     upto = some.withColumn("upto", F.sum(n).over(w))
@@ -92,4 +95,6 @@ def best_range(counts: DataFrame, document: str, page: str, profile: str, n: str
     total = F.col("high") - F.col("low")
     ranges = a.join(b, [document, profile]).filter("start <= end").withColumn("total", total).filter("total > 0")
     best = F.max(F.struct("total", (F.col("start") - F.col("end")).alias("neg"), "start", "end"))
-    return ranges.groupBy(document).agg(best.alias("b")).select(document, F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.total").alias("total"))
+    found = ranges.groupBy(document).agg(best.alias("b"))
+    part = lambda x, other: F.coalesce(F.col("b")[x], F.lit(other)).alias(x)
+    return counts.select(document).distinct().join(found, document, "left").select(document, part("start", 3), part("end", 5), part("total", 0))

@@ -136,6 +136,31 @@ def search_hybrid_topk(spark, sf, asked=questions):
     return out(hits.join(d.select("id", "title"), "id"), "title")
 
 
+def _full_pack(spark, sf):
+    """All that search() takes: articles 제N조, annexes, questions (whole items, and those that name articles, annexes and rules), vectors.
+
+    A document's vector is that of embeddings with its number; a question that names an article has the article's own.
+    """
+    a = articles(spark, sf, None).withColumn("rule", F.concat("rule", F.lit("규정"))).withColumn("label", F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조"))).withColumn("id", F.concat("rule", F.lit("#"), "label"))
+    x = annexes(spark, sf)
+    some, named = a.filter("doc_id % 50 = 0"), x.filter("page_id % 50 = 0")
+    qa = some.select((F.col("doc_id") + 1000000000).alias("query_id"), F.concat("rule", F.lit("상 "), "label", F.lit("는 무엇인가?")).alias("q"))
+    qx = named.select((F.col("page_id") + 2000000000).alias("query_id"), F.concat("rule", F.lit(" 별표 "), F.col("page_id").cast("string"), F.lit(" 기준")).alias("q"))
+    qr = some.select((F.col("doc_id") + 3000000000).alias("query_id"), F.concat("rule", F.lit(" 목적")).alias("q"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    vectors = a.select("doc_id", "id").join(e, "doc_id").select("id", "embedding")
+    asked = some.select("doc_id").join(e, "doc_id").select((F.col("doc_id") + 1000000000).alias("query_id"), F.col("embedding").alias("query_vector"))
+    return a, x, whole_questions(spark, sf).union(qa).union(qx).union(qr), (vectors, asked)
+
+
+@query()
+def search_hybrid_full(spark, sf):
+    """3.1: hybrid search of the full pack, articles and annexes, by all routes and pins."""
+    a, x, q, vectors = _full_pack(spark, sf)
+    titles = a.select("id", "title").union(x.select("id", "title"))
+    return out(R.search(a, x, q, K, vectors=vectors)["hits"].join(titles, "id"), "title", "pinned")
+
+
 def _refs(spark, sf):
     """Articles labelled 제N조 and annexes, and questions that point at some of them."""
     a = articles(spark, sf).withColumn("label", F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조"))).withColumn("id", F.concat("rule", F.lit("#"), "label"))

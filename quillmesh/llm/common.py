@@ -5,10 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,27 +28,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tuned(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that go to Python, by rows and by bytes: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Rows and bytes of the slices that Python functions work on.
+SLICE_ROWS, SLICE_BYTES = 1000, 16 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to `rows` rows and about SLICE_BYTES bytes at most (a longer row alone): texts can be long.
+
+    So what a Python function holds is bounded whatever the session's own batch settings are; they stay as they are.
+    """
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * SLICE_BYTES // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
+_scratch: ContextVar[list[Workspace] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """All intermediate tables that operators make inside are removed at its end; results have to be written by then."""
+    mine: list[Workspace] = []
+    before = _scratch.set(mine)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        for ws in mine:
+            ws.close()
 
 
 class Workspace:
     """Intermediate tables in the folder that spark.checkpoint.dir names.
 
     They are Parquet files on shared storage, so a lost executor costs a re-read and never a recomputation. drop() removes
-    a table that nothing reads any more.
+    a table that nothing reads any more, close() the whole folder; inside scratch() the caller needn't hold it. Without the
+    setting a local session (as in tests) gets a temporary folder; on a cluster that is an error, as executors don't share it.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not where:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             where = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
             spark.conf.set("spark.checkpoint.dir", where)
         self.root = f"{where.rstrip('/')}/quillmesh-{uuid.uuid4().hex}"
         self._n = 0
+        if (mine := _scratch.get()) is not None:
+            mine.append(self)
 
     def path(self) -> str:
         self._n += 1
@@ -61,10 +94,16 @@ class Workspace:
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             if path := df.__dict__.pop("_stored_at", None):
-                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                self._delete(path)
         self.release()
 
+    def close(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def release(self) -> None:
         """Shuffle files of finished plans go only when the driver collects its garbage; long jobs need that sooner."""
         gc.collect()
@@ -105,6 +144,29 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def numbered(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of a column of lists of strings: the distinct ones that are not empty, each one's number among them in the order of
+    the lists, and where each list begins (one more: the end)."""
+    flat = lists.flatten()
+    real = np.asarray(pc.binary_length(flat)) > 0
+    kept = np.concatenate([[0], np.cumsum(real)])
+    found = flat.filter(pa.array(real)).dictionary_encode()
+    at = np.asarray(lists.offsets)
+    return found.dictionary, found.indices.to_numpy(), kept[at - at[0]]
+
+
+def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """numbered() of the words of a string column (null: none), cut at ASCII white space."""
+    return numbered(pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null("")))
+
+
+def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit codes of all words of a column as rows of two 64-bit numbers, and where each text's words begin."""
+    distinct, codes, at = numbered_words(texts)
+    digests = b"".join(map(xxhash.xxh3_128_digest, distinct.cast(pa.large_binary()).to_pylist()))
+    return np.frombuffer(digests, "<u8").reshape(-1, 2)[codes], at
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     if isinstance(column, pa.ChunkedArray):
@@ -121,34 +183,22 @@ def rows_of(batch: pa.RecordBatch | pa.Table, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
 
-def order_prefix(df: DataFrame, order: list[str], sums: list[str], buckets: int | None = None) -> DataFrame:
+def order_prefix(ws: Workspace, df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
     """Adds before_<s> for each s in sums: its total over all rows that come earlier by the columns of order.
 
-    The first column of order must be numeric. No window spans the table: rows are dealt into ranges by quantiles of that
-    column, each range is summed, the few range totals (one row a range) are summed in turn and joined back, and a window
-    runs within each range only. df is read three times, so pass a narrow, stored table. Nulls come first.
+    Nulls come first; rows that are equal in all columns of order take any order among themselves, but a fixed one. No
+    window spans the table: rows are dealt into sorted ranges by those columns and a running number, so that even rows of
+    one key fill many ranges; each range is summed, the few range totals (one row a range) are summed in turn and joined
+    back, and a window runs within each range only. df is read twice, so pass a narrow, stored table.
     """
-    spark = df.sparkSession
-    n = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    first = F.col(order[0])
-    cuts = df.select(F.percentile_approx(first, [i / n for i in range(1, n)], 10 * n).alias("q")).head()[0] or []
-    cuts = sorted(set(cuts))
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    dealt = df.withColumn("_r", F.when(first.isNull(), F.lit(-1)).otherwise(_count_below(edges, first, len(cuts))))
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = df.withColumn("_m", F.monotonically_increasing_id()).repartitionByRange(n, *order, "_m")
+    dealt = ws.save(dealt.withColumn("_r", F.spark_partition_id()))
     totals = dealt.groupBy("_r").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_r", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    inside = Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(F.broadcast(totals), "_r")  # one row a range: at most n + 1
+    inside = Window.partitionBy("_r").orderBy(*order, "_m").rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(totals), "_r")  # one row a range: n at most
     for s in sums:
         out = out.withColumn(f"before_{s}", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)))
-    return out.drop("_r", *[f"_o_{s}" for s in sums])
-
-
-def _count_below(edges, value, n: int):
-    """How many of n sorted edges are at most value, by halving: log2(n) comparisons."""
-    if not n:
-        return F.lit(0)
-    steps = [1 << i for i in range(n.bit_length() - 1, -1, -1)]
-    ahead = lambda at, step: (at + step <= n) & (F.get(edges, at + step - 1) <= value)
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
+    return out.drop("_r", "_m", *[f"_o_{s}" for s in sums])

@@ -21,16 +21,17 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     every cut.
 
     A null text has no bytes and the checksum of the empty text. Null doc_ids come first. Equal rows take neighbouring
-    slots. Other columns are ignored. No rows give no rows. Texts are read once, for size and checksum, and never shuffled.
+    slots; equal texts of different documents lie wherever their doc_ids put them. Other columns are ignored. No rows give no rows. Texts are read once, for size and checksum, and never shuffled.
     """
     ws = Workspace(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(1).cast("long").alias("one"))
     sized = ws.save(sized)
     total = sized.agg(F.sum("size").alias("n")).head()["n"] or 1
-    placed = order_prefix(sized, ["doc_id", "size", "text_crc32"], ["size", "one"])
-    # The middle byte settles the shard; decimals, since whole corpora overflow a double's exact range.
-    placed = ws.save(placed.select("doc_id", "size", "text_crc32", "before_one", F.least(F.lit(shards - 1), F.expr(f"CAST(CAST({shards} AS DECIMAL(10,0)) * CAST(2 * before_size + size AS DECIMAL(24,0)) / {2 * total} AS DECIMAL(30,10))").cast("int")).alias("shard")))
+    placed = order_prefix(ws, sized, ["doc_id", "size", "text_crc32"], ["size", "one"])
+    # The middle byte settles the shard; whole numbers as decimals, since corpora overflow 64 bits here.
+    middle = F.expr(f"CAST({shards} AS DECIMAL(10,0)) * CAST(2 * before_size + size AS DECIMAL(24,0)) div CAST({2 * total} AS DECIMAL(24,0))")
+    placed = ws.save(placed.select("doc_id", "size", "text_crc32", "before_one", F.least(F.lit(shards - 1), middle.cast("int")).alias("shard")))
     first = placed.groupBy("shard").agg(F.min("before_one").alias("first"))  # a row for each shard
     out = placed.join(F.broadcast(first), "shard")
     ws.drop(sized)

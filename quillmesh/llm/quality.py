@@ -1,68 +1,99 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of learned vectors: one for each of its words, its words' character 3- to 5-grams, and its word
-bigrams backed off to "the same word again", all hashed into BUCKETS rows. A softmax layer reads the mean. Vectors and
-layer are trained together by stochastic gradient descent in numpy on a bounded sample of labelled rows.
+bigrams, all hashed into BUCKETS rows; a bigram of one word twice also backs off to "the same word again", since its own
+hash is new for every word. A softmax layer reads the mean. Vectors and layer are trained together by stochastic
+gradient descent in numpy on a bounded sample of labelled rows.
 
-For scoring, layer and vectors fold into one number a bucket, so a document's logit is a mean over its words, and each
-distinct word is hashed once for each Python worker.
+For scoring, layer and vectors fold into one number a bucket, so a document's logit is a mean over its features. Features
+come by numpy from the distinct words of an Arrow batch; nothing is remembered from one batch to the next.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import enter, raw, table, tuned
+from .common import Workspace, enter, mix, numbered_words, row_key, slices, table
 
 BUCKETS, WIDTH = 1 << 18, 16
-#: Labelled rows to learn from, at most: those whose hashed doc_id is least.
+#: Labelled rows to learn from, at most: those whose hashed doc_id and text are least.
 SAMPLE = 4000
 EPOCHS, RATE = 8, 0.6
-REMEMBERED = 500_000
-
-
-def word_buckets(word: bytes, sizes: tuple[int, ...] = (3, 4, 5)) -> list[int]:
-    """Buckets of a word and its character n-grams; repeats stay."""
-    w = f"<{word.decode()}>"
-    grams = [w, *(w[i : i + n] for n in sizes for i in range(len(w) - n + 1))]
-    return [xxhash.xxh32_intdigest(g) % (BUCKETS - 1) for g in grams]
-
-
-#: The bucket of the bigram "the same word again".
+GRAMS = (3, 4, 5)
+#: The bucket that bigrams of one word twice share; no other feature has it.
 SAME = BUCKETS - 1
-
-
-def again(words: list[bytes]) -> int:
-    return sum(map(bytes.__eq__, words, words[1:]))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct word <w>: a hash; and the buckets of the word and its character n-grams, with the word each is of."""
+    n = len(words)
+    chars = np.frombuffer("".join([f"<{w}>" for w in words.to_pylist()]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    size = np.fromiter(map(len, words.to_pylist()), np.int64, n) + 2
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(n), size)
+    place = (np.arange(len(chars)) - start[owner]).astype(np.uint64)
+    whole = mix(np.add.reduceat(mix(chars + (place << np.uint64(32))), start))
+    owners, hashes = [np.arange(n)], [whole]
+    for k in GRAMS:
+        m = len(chars) - k + 1
+        if m > 0:
+            h = np.full(m, np.uint64(k), np.uint64)
+            for i in range(k):
+                h = h * _STEP + chars[i : i + m]
+            inside = owner[:m] == owner[k - 1 :]
+            owners.append(owner[:m][inside])
+            hashes.append(mix(h[inside]))
+    return whole, (np.concatenate(hashes) % np.uint64(SAME)).astype(np.int64), np.concatenate(owners)
+
+
+def bigrams(codes: np.ndarray, whole: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all pairs of neighbouring words (by number, with their hashes), and the text each pair is in."""
+    inside = text[:-1] == text[1:]
+    h = whole[codes]
+    pair = (mix(h[:-1] * _STEP + h[1:] + np.uint64(1))[inside] % np.uint64(SAME)).astype(np.int64)
+    again = inside & (codes[:-1] == codes[1:])
+    return np.concatenate([pair, np.full(again.sum(), SAME)]), np.concatenate([text[:-1][inside], text[:-1][again]])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct buckets of a text with their counts."""
-    for b in batches:
+    enter("quality")
+    for b in slices(batches):
         ids, n = [], []
-        for text in raw(b.column("text")):
-            words = (text or b"").split()
-            flat = np.fromiter(chain.from_iterable(map(word_buckets, words)), np.int32)
-            u, c = np.unique(np.append(flat, np.full(again(words), SAME, np.int32)), return_counts=True)
+        for i in range(b.num_rows):
+            words, codes, _ = numbered_words(b.column("text").slice(i, 1))
+            whole, buckets, owner = word_features(words)
+            often = np.bincount(codes, minlength=len(words))
+            pairs, _ = bigrams(codes, whole, np.zeros(len(codes), np.int8))
+            u, of = np.unique(np.concatenate([buckets, pairs]), return_inverse=True)
             ids.append(u.astype(np.int32))
-            n.append(c.astype(np.float32))
+            n.append(np.bincount(of, np.concatenate([often[owner], np.ones(len(pairs))]), len(u)).astype(np.float32))
         yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["label", "ids", "n"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, mod: int, out: int, rows: int) -> DataFrame:
-    """Texts with labels that may be learned from: crc32(doc_id as text) mod `mod` is not `out`; `rows` of them at most."""
+    """_l, text, label of rows that may be learned from: crc32(doc_id as text) mod `mod` is not `out`; `rows` at most.
+
+    Equal rows count once. `rows` labels are drawn first; documents that share a doc_id are more rows than that, so the
+    rows are drawn again, by doc_id and text, from what the labels meet.
+    """
     ok = F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != out
     some = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ok).select(F.col("doc_id").cast("long").alias("_l"), F.col(column).cast("int").alias("label"))
-    some = some.orderBy(F.xxhash64("_l"), "_l", "label").limit(rows)
-    return docs.join(F.broadcast(some), docs["doc_id"] == some["_l"]).select("_l", "text", "label")  # `rows` rows at most
+    some = some.distinct().orderBy(F.xxhash64("_l"), "_l", "label").limit(rows)
+    keys = ["_l", "_th", "label"]
+    met = row_key(docs.select("doc_id", "text")).join(F.broadcast(some), F.col("_id") == F.col("_l"))  # `rows` rows at most
+    met = Workspace(docs.sparkSession).save(met.select(*keys, "text"))
+    drawn = met.select(*keys).distinct().orderBy(F.xxhash64("_l", "_th"), *keys).limit(rows)
+    return met.join(F.broadcast(drawn), keys).dropDuplicates(keys).select("_l", "text", "label")  # again `rows` at most
 
 
 def train(ids: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -91,37 +122,23 @@ def train(ids: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, s
     return (vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-class Scorer:
-    def __init__(self, weights: np.ndarray, bias: float) -> None:
-        self.weights, self.bias = weights.tolist(), bias
-        self.known: dict[bytes, complex] = {}
-
-    def word(self, w: bytes) -> complex:
-        """Sum of a word's weights, and how many they are as the imaginary part."""
-        if w not in self.known:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = word_buckets(w)
-            self.known[w] = complex(sum(map(self.weights.__getitem__, ids)), len(ids))
-        return self.known[w]
-
-    def logit(self, text: bytes | None) -> float:
-        words = (text or b"").split()
-        try:
-            total = sum(map(self.known.__getitem__, words))
-        except KeyError:
-            total = sum(map(self.word, words))
-        n = again(words)
-        total += complex(n * self.weights[SAME], n)
-        return self.bias + (total.real / total.imag if total.imag else 0.0)
+def logits(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The bias and the mean weight of each text's features."""
+    words, codes, at = numbered_words(texts)
+    whole, buckets, owner = word_features(words)
+    text = np.repeat(np.arange(len(texts)), np.diff(at))
+    sums, sizes = np.bincount(owner, weights[buckets], len(words)), np.bincount(owner, minlength=len(words))
+    pairs, of = bigrams(codes, whole, text)
+    total = np.bincount(text, sums[codes], len(texts)) + np.bincount(of, weights[pairs], len(texts))
+    n = np.bincount(text, sizes[codes], len(texts)) + np.bincount(of, minlength=len(texts))
+    return bias + total / np.maximum(1, n)
 
 
 def _score(weights: np.ndarray, bias: float, passed: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("quality")
-        scorer = Scorer(weights, bias)
-        for b in batches:
-            z = np.array([scorer.logit(t) for t in raw(b.column("text"))])
+        for b in slices(batches, 4000):
+            z = logits(b.column("text"), weights, bias)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), pa.array(1 / (1 + np.exp(-z)))], [*passed, "score"])
 
     return run
@@ -135,15 +152,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep:
     """One row a document: doc_id, the columns in keep, held_out, score, predicted (1 if score >= 0.7).
 
     Learned from `rows` labelled rows at most, none of them held out. Null and empty texts are scored by the bias alone.
-    A null doc_id is not held out. Without any label to learn from, nothing speaks against a document: score 1. Rows that
+    A null doc_id is not held out. Without any label 0 to learn from, nothing speaks against a document: score 1. Rows that
     share a doc_id are scored each by its own text. Columns not named are ignored. No rows give no rows.
     """
-    tuned(docs.sparkSession)
     got = labelled(docs, labels, "quality", 4, 2, rows).repartition(16, "_l").select("label", "text").mapInArrow(_counts, "label int, ids array<int>, n array<float>").toArrow()
     y = np.array(got.column("label").to_pylist(), np.int64)
     passed = ("doc_id", "held_out", *keep)
     rows_ = docs.withColumn("held_out", held_out(4, 2)).select(*passed, *({"text"} - set(passed)))
-    if not len(y):
+    if not len(y) or y.min() > 0:
         out = rows_.withColumn("score", F.lit(1.0)).select(*passed, "score")
     else:
         y = (y > 0).astype(np.int64)

@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
 1. Voters. Lexicons of words and of character n-grams are drawn from disjoint folds of the labelled sample (terms that mark
-   toxic rows almost only); each votes by how many of a text's words it hits. Pattern voters look at shouting, exclamation
-   marks, symbols and repetition. A voter says toxic (1), clean (-1) or nothing (0).
-   The rows' own labels are one more voter, an annotator who errs now and then.
+   toxic rows almost only); each votes by how many of a text's words it hits, and says nothing on the fold it was drawn
+   from. Pattern voters look at shouting, exclamation marks, symbols and repetition. The annotator, whose labels the rows
+   carry, is one more voter who errs now and then. A voter says toxic (1), clean (-1) or nothing (0).
 2. Label model. Votes are modelled as drawn around a mean for each class with one shared covariance: the means are the
    voters' accuracies and the covariance their correlations, so lexicons that repeat each other count once. Both are
-   estimated by expectation maximisation, without labels.
+   estimated by expectation maximisation, beginning with what the annotator says; the annotator's accuracy is estimated
+   like any other's, no label is taken as the truth. Rows of one fold are modelled together: the same voters are silent.
 3. Classifier. A linear model over hashed words and character n-grams is trained on the posterior labels by a proximal
    online method, which leaves all but telling terms at zero.
 """
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import enter, raw, table, tuned
+from .common import enter, raw, slices, table
 from .quality import held_out, labelled
 
 BUCKETS = 1 << 20
@@ -59,7 +60,7 @@ def patterns(text: bytes | None, words: list[str]) -> list[int]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets of a text's distinct words, with the number of words that have each; and the pattern votes."""
-    for b in batches:
+    for b in slices(batches):
         ids, n, votes = [], [], []
         for text in raw(b.column("text")):
             words = tokens(text)
@@ -93,29 +94,26 @@ def votes_of(ids: list[np.ndarray], n: list[np.ndarray], lexicons: list[np.ndarr
 class LabelModel:
     """Two classes; votes have a mean for each class and a shared covariance. Fitted by expectation maximisation."""
 
-    #: Log odds that the annotator's vote carries.
-    ANNOTATOR = 5.0
-
-    def fit(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 12) -> LabelModel:
-        """labels: the annotator's votes, 1 or 0."""
-        prior = float(np.clip(labels.mean(), 0.005, 0.5))
-        said = self.ANNOTATOR * (2.0 * labels - 1)
-        q = 1 / (1 + np.exp(-said))
+    def fit(self, votes: np.ndarray, rounds: int = 25) -> LabelModel:
+        """votes: rows by voters, the annotator last. Voters that say one thing only are left out."""
+        self.used = np.flatnonzero(votes.std(axis=0) > 0)
+        v = votes[:, self.used]
+        q = np.where(votes[:, -1] > 0, 0.95, 0.05)
         for _ in range(rounds):
-            p = np.clip(q.mean(), 0.25 * prior, min(0.9, 4 * prior))
-            self.mean = np.stack([((1 - q) @ votes) / max(1e-9, (1 - q).sum()), (q @ votes) / max(1e-9, q.sum())])
-            d0, d1 = votes - self.mean[0], votes - self.mean[1]
-            self.covariance = (d0.T * (1 - q)) @ d0 / len(votes) + (d1.T * q) @ d1 / len(votes) + 0.05 * np.eye(votes.shape[1])
+            p = float(np.clip(q.mean(), 1e-3, 0.9))
+            self.mean = np.stack([((1 - q) @ v) / max(1e-9, (1 - q).sum()), (q @ v) / max(1e-9, q.sum())])
+            d0, d1 = v - self.mean[0], v - self.mean[1]
+            self.covariance = (d0.T * (1 - q)) @ d0 / len(v) + (d1.T * q) @ d1 / len(v) + 0.05 * np.eye(v.shape[1])
             self.weights = np.linalg.solve(self.covariance, self.mean[1] - self.mean[0])
             self.bias = np.log(p / (1 - p)) - 0.5 * (self.mean.sum(axis=0) @ self.weights)
-            q = self.posterior(votes, said)
+            q = self.posterior(votes)
         sd = np.sqrt(np.diag(self.covariance))
         self.correlation = self.covariance / np.outer(sd, sd)
-        self.accuracy = (q @ (votes > 0) + (1 - q) @ (votes < 0)) / np.maximum(1, (votes != 0).sum(axis=0))
+        self.accuracy = (q @ (v > 0) + (1 - q) @ (v < 0)) / np.maximum(1, (v != 0).sum(axis=0))
         return self
 
-    def posterior(self, votes: np.ndarray, said: np.ndarray | float = 0.0) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(votes @ self.weights + self.bias + said, -30, 30)))
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(votes[:, self.used] @ self.weights + self.bias, -30, 30)))
 
 
 def train(ids: list[np.ndarray], n: list[np.ndarray], target: np.ndarray, epochs: int = 10, rate: float = 0.3, l1: float = 8.0, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -169,25 +167,25 @@ def _score(weights: np.ndarray, bias: float):
         full = np.zeros(BUCKETS, np.float32)
         full[sparse[0]] = sparse[1]
         scorer = Scorer(full, bias)
-        for b in batches:
+        for b in slices(batches):
             z = np.array([scorer.logit(t) for t in raw(b.column("text"))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], ["doc_id", "held_out", "score"])
 
     return run
 
 
-def learn(ids: list[np.ndarray], n: list[np.ndarray], patterns_: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, LabelModel]:
-    """Voters from folds of the labels, the label model over their votes, and the classifier on its posterior."""
+def learn(ids: list[np.ndarray], n: list[np.ndarray], patterns_: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, bias, targets): voters from folds of the labels, a label model over their votes, the classifier on its posterior."""
     fold = np.arange(len(y)) % FOLDS
-    lexicons = []
+    target = np.zeros(len(y))
+    lexicons = [[lexicon([ids[i] for i in np.flatnonzero(fold == f)], y[fold == f], *need) for need in ((3, 0.9), (6, 0.97))] for f in range(FOLDS)]
     for f in range(FOLDS):
         part = np.flatnonzero(fold == f)
-        own = [ids[i] for i in part]
-        lexicons += [lexicon(own, y[part], 3, 0.9), lexicon(own, y[part], 6, 0.97)]
-    votes = np.hstack([votes_of(ids, n, lexicons), patterns_])
-    model = LabelModel().fit(votes, y)
-    weights, bias = train(ids, n, model.posterior(votes, model.ANNOTATOR * (2.0 * y - 1)))
-    return weights, bias, model
+        if len(part):
+            others = [x for g in range(FOLDS) if g != f for x in lexicons[g]]
+            votes = np.hstack([votes_of([ids[i] for i in part], [n[i] for i in part], others), patterns_[part], 2.0 * y[part, None] - 1])
+            target[part] = LabelModel().fit(votes).posterior(votes)
+    return *train(ids, n, target), target
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
@@ -197,7 +195,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Da
     null doc_id is not held out. Without any toxic label to learn from every score is 0. Rows that share a doc_id are scored
     each by its own text. Other columns are ignored. No rows give no rows.
     """
-    tuned(docs.sparkSession)
     got = labelled(docs, labels, "toxic", 5, 0, rows).repartition(16, "_l").select("label", "text").mapInArrow(_features, "label int, ids array<int>, n array<float>, votes array<int>").toArrow()
     y = (np.array(got.column("label").to_pylist(), np.int64) > 0).astype(np.int64)
     base = docs.select("doc_id", held_out(5, 0).alias("held_out"), "text")

@@ -10,6 +10,8 @@ How it stays linear where a group of copies holds much of the input:
 - then with the least class of each of its buckets (a star), where that lies in another component;
 - only buckets that still hold several components are compared across components, in blocks, never all with all.
 So every candidate pair is either verified or already connected, and no link between candidates is lost.
+
+Sets hold 64-bit hashes of shingles, and links are confirmed on them: two texts link wrongly only if shingles collide.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, enter, mix, raw, run_hashes, table, tuned, word_hashes
+from .common import Workspace, enter, mix, raw, run_hashes, slices, table, word_hashes
 
 #: Signature coordinates at most, and the chance to miss a pair that lies exactly at the threshold.
 COORDINATES, MISS = 192, 1e-6
-#: Residual buckets of at most SMALL rows are joined with themselves; larger ones are compared in blocks of BLOCK rows.
-SMALL, BLOCK = 16, 512
-#: Coordinates of the longer signature that members of such larger buckets get; estimates by it are three times as sharp.
+#: Rows of the blocks in which buckets that hold several components are compared.
+BLOCK = 512
+#: Coordinates of the longer signature that their members get for it; estimates by it are twice as sharp.
 LONG = 1024
 
 
@@ -74,7 +76,7 @@ def _profile(k: int, rows: int, bands: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("near_dup")
-        for b in batches:
+        for b in slices(batches):
             sizes, keys, sigs = [], [], []
             for text in raw(b.column("text")):
                 s = shingle_set(text, k)
@@ -107,7 +109,7 @@ def _estimate(least: float):
     """Drops pairs whose signatures agree far too seldom: 6.5 standard deviations below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             a, z = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("low_a", "low_b"))
@@ -120,7 +122,7 @@ def _confirm(percent: int):
     """Keeps pairs with 100 * intersection >= percent * union, on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = []
             for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -137,7 +139,7 @@ def _confirm(percent: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t, k).tobytes() for t in raw(b.column("text"))], pa.binary())], ["id", "set"])
 
     return run
@@ -145,7 +147,7 @@ def _sets(k: int):
 
 def _long(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sigs = [signature(shingle_set(t, k), LONG).astype(np.uint8).tobytes() for t in raw(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigs, pa.binary())], ["id", "low"])
 
@@ -194,7 +196,9 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         labels = new
         if not labels.filter("moved").limit(1).count():
             ws.drop(both)
-            return labels.select("id", F.col("c").alias("component_id"))
+            out = ws.save(labels.select("id", F.col("c").alias("component_id")))
+            ws.drop(labels)
+            return out
 
 
 class NearDuplicates:
@@ -202,7 +206,6 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, k: int, percent: int) -> None:
         self.spark = docs.sparkSession
-        tuned(self.spark)
         self.ws = Workspace(self.spark)
         self.docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.k, self.percent, t = k, percent, percent / 100
@@ -256,32 +259,23 @@ class NearDuplicates:
         return self.ws.save(named.filter("coalesce(c_a, a) != coalesce(c_b, b)").select("a", "b"))
 
     def across(self, buckets: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-        """Pairs of a bucket that lie in different components so far (without those that the stars have tried)."""
-        named = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-        named = self.ws.save(named)
-        split = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
-        # The component of the least id is as a rule the large one; its members meet only the others.
-        main = named.filter("id = centre").select("bucket", F.col("comp").alias("main")).distinct()
-        split = self.ws.save(split.select("bucket", "n").join(main, "bucket"))
-        left = named.join(split, "bucket")
-        left = self.ws.save(left.select("bucket", "band", "id", "comp", "centre", "n", (F.col("comp") == F.col("main")).alias("inner")))
+        """Pairs of a bucket that lie in different components so far; buckets of all sizes alike, by the longer signature."""
+        named = self.ws.save(buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"))
+        split = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("id", "comp")).alias("least"))
+        # Of two classes only, the star has tried the one pair. The component of the least id is as a rule the large one;
+        # its members meet only the others.
+        split = self.ws.save(split.filter("lo < hi and n > 2").select("bucket", F.col("least.comp").alias("main")))
+        left = self.ws.save(named.join(split, "bucket").select("bucket", "band", "id", "comp", (F.col("comp") == F.col("main")).alias("inner")))
         self.ws.drop(named, split)
-        small = left.filter(F.col("n") <= SMALL).select("bucket", "id", "comp", "centre")
-        a, b = small.alias("a"), small.alias("b")
-        pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.id") != F.col("a.centre")))
-        pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        large = left.filter(F.col("n") > SMALL)
-        if large.limit(1).count():
-            ids = large.select(F.col("id").alias("doc_id")).distinct()
-            long = self.ws.save(self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_long(self.k), "id long, low binary"))
-            pairs = pairs.union(self._blocks(large, long.join(reps.select("id", "bands"), "id")))
-        out = self.ws.save(pairs.distinct())
-        self.ws.drop(left)
+        ids = left.select(F.col("id").alias("doc_id")).distinct()
+        long = self.ws.save(self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_long(self.k), "id long, low binary"))
+        out = self.ws.save(self._blocks(left, long.join(reps.select("id", "bands"), "id")).distinct())
+        self.ws.drop(left, long)
         return out
 
-    def _blocks(self, large: DataFrame, reps: DataFrame) -> DataFrame:
-        size = large.groupBy("bucket").agg(F.ceil(F.count_if("inner") / BLOCK).alias("n_in"), F.ceil(F.count_if(~F.col("inner")) / BLOCK).alias("n_out"))
-        rows = large.join(size, "bucket").join(reps, "id")
+    def _blocks(self, left: DataFrame, reps: DataFrame) -> DataFrame:
+        size = left.groupBy("bucket").agg(F.ceil(F.count_if("inner") / BLOCK).alias("n_in"), F.ceil(F.count_if(~F.col("inner")) / BLOCK).alias("n_out"))
+        rows = left.join(size, "bucket").join(reps, "id")
         own = F.pmod(F.xxhash64("id"), F.greatest(F.when(F.col("inner"), F.col("n_in")).otherwise(F.col("n_out")), F.lit(1)))
         rows = rows.withColumn("own", own)
         out_range = F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1)
@@ -299,19 +293,21 @@ class NearDuplicates:
     def run(self) -> DataFrame:
         ws = self.ws
         docs = self.classes()
-        reps = ws.save(docs.filter("n_shingles > 0 and bands is not null").select(F.col("rep").alias("id"), "n_shingles", "bands", "low"))
+        reps = docs.filter("n_shingles > 0 and bands is not null").select(F.col("rep").alias("id"), "n_shingles", "bands", "low")
         buckets = self.buckets(reps)
-        star = buckets.filter("id != centre")
-        links = self.verified(ws.save(star.groupBy("id").agg(F.min("centre").alias("a")).select("a", F.col("id").alias("b"))), reps)
+        star = ws.save(buckets.filter("id != centre").groupBy("id").agg(F.min("centre").alias("a")).select("a", F.col("id").alias("b")))
+        links = self.verified(star, reps)
+        ws.drop(star)
         comp = components(ws, links)
         # What is compared across components comes by a sharper estimate already.
         for pairs, check in ((self.apart, lambda p: self.verified(p, reps)), (self.across, self.confirmed)):
             more = pairs(buckets, comp, reps)
             if more.limit(1).count():
                 links = links.union(check(more))
-                comp = components(ws, links)
+                old, comp = comp, components(ws, links)
+                ws.drop(old)
             ws.drop(more)
-        ws.drop(buckets, reps)
+        ws.drop(buckets)
         out = docs.select("doc_id", "n_shingles", "rep").join(comp, F.col("rep") == F.col("id"), "left")
         alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
         return out.select("doc_id", "n_shingles", F.coalesce(alone, "component_id", "rep").alias("component_id"))
@@ -336,3 +332,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

@@ -1,7 +1,7 @@
 """Exact removal of repeated word windows by super-k-mer partitioning.
 
 A window is `window` consecutive words. Its minimiser is the least hash among its m-word runs; consecutive windows that
-share that run form one super-k-mer, which travels as one packed string (64-bit word codes) to the bucket of its minimiser.
+share that run form one super-k-mer, which travels as one packed string (128-bit word codes) to the bucket of its minimiser.
 Equal windows have equal minimisers, so each bucket can be judged alone: sorting its windows shows which occur earlier.
 
 Most windows occur once, so the strings of a bucket travel only where that can matter:
@@ -11,6 +11,9 @@ Most windows occur once, so the strings of a bucket travel only where that can m
 3. buckets with several different strings: one packed string for each distinct string travels, sorted by bucket, and its
    windows are sorted. A bucket of more than `SPLIT` strings is dealt out by window instead, and its windows are counted as
    in step 2, so no group grows without bound.
+
+Whole strings and single windows, in buckets of every size, count as equal if two independent 64-bit hashes agree, each over
+its own half of the word codes: at 10^12 windows two different ones are mistaken for each other with chance 10^-14.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, enter, mix, raw, row_key, run_hashes, table, tuned, word_hashes
+from .common import Workspace, enter, mix, raw, row_key, run_hashes, slices, table, text_words
 
 MINIMISER = 6
 SPLIT = 4096
@@ -35,15 +38,15 @@ ROWS = 20_000
 _PLACE = "_id long, _th long, start int, n int"
 
 
-def super_kmers(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, string hash, start, number of windows) of each super-k-mer in a document of word hashes h."""
+def super_kmers(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, ...]:
+    """(minimiser, the string's two hashes, start, number of windows) of each super-k-mer in a document of word codes h."""
     count = len(h) - window + 1
     if count <= 0:
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     # Leftmost least run of each window, by doubling. Equal windows have it at the same offset, so two of them never share
     # one super-k-mer, not even in periodic text.
-    low = run_hashes(h, m)
+    low = run_hashes(h[:, 0], m)
     at = np.arange(len(low))
     span, size = window - m + 1, 1
     while size < span:
@@ -53,12 +56,14 @@ def super_kmers(h: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndar
         size += step
     starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     n = np.diff(np.append(starts, count))
-    # The string's hash from prefix sums of word code times an odd power, brought back to power 0 by the inverse.
+    # A string's hash from prefix sums of word code times an odd power, brought back to power 0 by the inverse.
     up, down = _powers(len(h) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h) * up[: len(h)], dtype=np.uint64)])
     ends = starts + n + window - 1
-    text = mix((sums[ends] - sums[starts]) * down[starts] + (n + window).astype(np.uint64))
-    return low[starts].view(np.int64), text.view(np.int64), starts, n
+    texts = []
+    for half in range(2):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h[:, half]) * up[: len(h)], dtype=np.uint64)])
+        texts.append(mix((sums[ends] - sums[starts]) * down[starts] + (n + window).astype(np.uint64)).view(np.int64))
+    return low[starts].view(np.int64), *texts, starts, n
 
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
@@ -75,39 +80,55 @@ def _powers(n: int) -> list[np.ndarray]:
     return _tables
 
 
+_STRING = "low long, string long, string2 long, "
+
+
+def _words(column: pa.Array) -> Iterator[np.ndarray]:
+    """Word codes of each text of a column."""
+    codes, at = text_words(column)
+    return (codes[i:j] for i, j in zip(at[:-1], at[1:], strict=True))
+
+
 def _census(window: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("substring")
-        for b in batches:
-            found = [super_kmers(word_hashes((t or b"").split()), window, m) for t in raw(b.column("text"))]
+        for b in slices(batches):
+            found = [super_kmers(h, window, m) for h in _words(b.column("text"))]
             sizes = [len(f[0]) for f in found]
             if not sum(sizes):
                 continue
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            low, text, start, n = (np.concatenate([f[i] for f in found]) for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(text), b.column("_id").take(pa.array(rows)), b.column("_th").take(pa.array(rows)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["low", "string", "_id", "_th", "start", "n"])
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            low, one, two, start, n = (np.concatenate([f[i] for f in found]) for i in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(one), pa.array(two), b.column("_id").take(rows), b.column("_th").take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["low", "string", "string2", "_id", "_th", "start", "n"])
 
     return run
 
 
+def _wanted(batches: Iterator[pa.RecordBatch]):
+    """(word codes, _id, _th, wanted) of each document."""
+    for b in slices(batches):
+        yield list(zip(_words(b.column("text")), b.column("_id").to_pylist(), b.column("_th").to_pylist(), b.column("wanted").to_pylist(), strict=True))
+
+
 def _pack(window: int):
     """The packed string of each wanted super-k-mer."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def batch(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bucket", "_id", "_th", "start", "n", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            names = ["bucket", "_id", "_th", "start", "n", "packed"]
-            for text, i, th, wanted in zip(raw(b.column("text")), b.column("_id").to_pylist(), b.column("_th").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-                h = word_hashes((text or b"").split())
+        for rows in _wanted(batches):
+            out: list[list] = [[] for _ in kinds]
+            for h, i, th, wanted in rows:
                 for w in wanted:
                     s, n = w["start"], w["n"]
                     for col, v in zip(out, (w["low"], i, th, s, n, h[s : s + n + window - 1].tobytes()), strict=True):
                         col.append(v)
                 if len(out[0]) >= ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-                    out = [[], [], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                    yield batch(out)
+                    out = [[] for _ in kinds]
+            yield batch(out)
 
     return run
 
@@ -116,45 +137,35 @@ def _singles(window: int):
     """Each window of the wanted super-k-mers as a super-k-mer of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, i, th, wanted in zip(raw(b.column("text")), b.column("_id").to_pylist(), b.column("_th").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-                own = run_hashes(word_hashes((text or b"").split()), window).view(np.int64).tolist()
+        for rows in _wanted(batches):
+            out: list[list] = [[] for _ in range(6)]
+            for h, i, th, wanted in rows:
+                one, two = (run_hashes(h[:, half], window).view(np.int64).tolist() for half in range(2))
                 for w in wanted:
                     s, n = w["start"], w["n"]
-                    for col, v in zip(out, ([w["low"]] * n, own[s : s + n], [i] * n, [th] * n, range(s, s + n)), strict=True):
+                    for col, v in zip(out, ([w["low"]] * n, one[s : s + n], two[s : s + n], [i] * n, [th] * n, range(s, s + n)), strict=True):
                         col.extend(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             out.append([1] * len(out[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["low", "string", "_id", "_th", "start", "n"])
+            kinds = (*[pa.int64()] * 5, pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["low", "string", "string2", "_id", "_th", "start", "n"])
 
     return run
 
 
 def repeated_windows(window: int, bucket: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray, packed: list[bytes]) -> list[np.ndarray]:
     """Places (doc, th, start) of the windows that occur earlier, by sorting all windows of complete buckets."""
-    codes = np.frombuffer(b"".join(packed), np.uint64)
-    offset = np.concatenate([[0], np.cumsum([len(p) // 8 for p in packed])[:-1]])
+    codes = np.frombuffer(b"".join(packed), np.uint64).reshape(-1, 2)
+    offset = np.concatenate([[0], np.cumsum([len(p) // 16 for p in packed])[:-1]]).astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     at, b, d, t, s = offset[row] + step, bucket[row], doc[row], th[row], start[row] + step
-    w = run_hashes(codes, window)[at]
-    order = np.lexsort((s, d, w, b))
-    at, b, d, t, s, w = (x[order] for x in (at, b, d, t, s, w))
+    w, v = (run_hashes(codes[:, half], window)[at] for half in range(2))
+    order = np.lexsort((s, d, v, w, b))
+    b, d, t, s, w, v = (x[order] for x in (b, d, t, s, w, v))
     same = np.zeros(len(at), bool)
-    same[1:] = (b[1:] == b[:-1]) & (w[1:] == w[:-1])
-    equal = same.copy()
-    for k in range(window):
-        equal[1:] &= codes[at[1:] + k] == codes[at[:-1] + k]
-    if (same != equal).any():  # two windows share a 64-bit hash: compare them as strings
-        first: dict[tuple, tuple] = {}
-        places = [((int(x), codes[p : p + window].tobytes()), (int(i), int(j))) for x, p, i, j in zip(b, at, d, s, strict=True)]
-        for key, place in places:
-            first[key] = min(first.get(key, place), place)
-        late = np.array([first[key] < place for key, place in places], bool)
-    else:
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-        late = (d[head] != d) | (s[head] != s)
+    same[1:] = (b[1:] == b[:-1]) & (w[1:] == w[:-1]) & (v[1:] == v[:-1])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
+    late = (d[head] != d) | (s[head] != s)
     return [d[late], t[late], s[late]]
 
 
@@ -200,15 +211,16 @@ def repeated_ranges(docs: DataFrame, ws: Workspace, window: int = 20) -> DataFra
 
 def _later(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """Each place with its string's verdict: later (the string occurs earlier too) or not; and each string's first place."""
-    strings = ws.save(rows.groupBy("low", "string").agg(F.min(F.struct("_id", "start", "_th", "n")).alias("first")))
-    first = strings.select("low", "string", F.col("first._id").alias("f_id"), F.col("first.start").alias("f_start"))
+    key = ["low", "string", "string2"]
+    strings = ws.save(rows.groupBy(*key).agg(F.min(F.struct("_id", "start", "_th", "n")).alias("first")))
+    first = strings.select(*key, F.col("first._id").alias("f_id"), F.col("first.start").alias("f_start"))
     later = (F.col("_id") != F.col("f_id")) | (F.col("start") != F.col("f_start"))
-    return ws.save(rows.join(first, ["low", "string"]).select("_id", "_th", "start", "n", later.alias("later"))), strings
+    return ws.save(rows.join(first, key).select("_id", "_th", "start", "n", later.alias("later"))), strings
 
 
 def _whole(docs: DataFrame, ws: Workspace, window: int) -> tuple[DataFrame, DataFrame]:
     """Super-k-mers, with whether their string occurs earlier; and by document those whose windows need a closer look."""
-    every = ws.save(docs.select("_id", "_th", "text").mapInArrow(_census(window, MINIMISER), "low long, string long, " + _PLACE))
+    every = ws.save(docs.select("_id", "_th", "text").mapInArrow(_census(window, MINIMISER), _STRING + _PLACE))
     often = ws.save(every.groupBy("low").agg(F.count("*").alias("c")).filter("c > 1").select("low"))
     some = ws.save(every.join(often, "low"))
     ws.drop(every, often)
@@ -236,7 +248,7 @@ def _dealt(docs: DataFrame, ws: Workspace, wanted: DataFrame, window: int) -> Da
     """Larger buckets are dealt out by window, and each window counted like a string."""
     if not wanted.filter(F.exists("wanted", lambda w: w["large"])).limit(1).count():
         return wanted.sparkSession.createDataFrame([], _PLACE)
-    rows = ws.save(_texts(docs, wanted, True).mapInArrow(_singles(window), "low long, string long, " + _PLACE))
+    rows = ws.save(_texts(docs, wanted, True).mapInArrow(_singles(window), _STRING + _PLACE))
     placed, strings = _later(rows, ws)
     out = ws.save(placed.filter("later").drop("later"))
     ws.drop(rows, strings, placed)
@@ -247,7 +259,7 @@ def _strip(window: int, passed: tuple[str, ...]):
     """Removes covered words. kept: the words that stay joined by one space; same: nothing was removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             total, gone, kept, digest = [], [], [], []
             for text, ranges in zip(raw(b.column("text")), b.column("ranges").to_pylist(), strict=True):
                 words = (text or b"").split()
@@ -278,7 +290,6 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (
     named are ignored. No rows give no rows.
     """
     spark = docs.sparkSession
-    tuned(spark)
     ws = Workspace(spark)
     keyed = row_key(docs)
     ranges = repeated_ranges(keyed, ws, window)
@@ -290,3 +301,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM late),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -8,6 +8,11 @@ of score, the first being the Viterbi path.
 No piece of the vocabulary has a space mark after another character, and none holds a line end, so the lattice falls apart at
 those places: a text's N best are put together from those of its parts. The parts (words, mostly) recur, so each distinct
 one is segmented once for each Python worker; how far its second best lies behind comes with the forward pass.
+
+The lattice maximises the sum of the scores in the model file. For a unigram model these are log probabilities, and the
+result is the library's own N-best encoding (tests compare). For a BPE model, such as piece_bpe_32k.model, they are the
+negative ranks of its merges: the library applies merges one by one and gives other ids for the same text. Who trains with
+a BPE model's own ids must take the library's; decoding is the same for both.
 """
 
 from __future__ import annotations
@@ -20,15 +25,14 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import enter, mix, table, tuned
+from .common import enter, mix, numbered, slices, table
 
 SPACE = "▁"
 REMEMBERED = 800_000
-#: Texts that are encoded together.
-TOGETHER = 200
 #: Longer parts are segmented one by one.
 COLUMNS = 40
 SLOTS = 1 << 18
@@ -67,6 +71,7 @@ class Pieces:
         self.scores = {p: s for p, (_, s) in self.pieces.items()}
         self.code = {p: i.to_bytes(4, "little") for p, (i, _) in self.pieces.items()}
         self.found: dict[tuple[str, int], list] = {}
+        self.pieces_of = pa.array(self.table, pa.large_binary())
         self._tables = self._hash_tables()
         self.known: dict[str, tuple[bytes, float, float]] = {}
         self.literal = (self._codes(SPACE), self.fallback, _NEVER)
@@ -120,12 +125,14 @@ class Pieces:
                 heapq.heappush(queue, (-(best[start] + score + done), next(order), start, done + score, (piece, path)))
         return out
 
-    def alternatives(self, part: str, n: int) -> list[tuple[float, list[str]]]:
+    def alternatives(self, part: str, n: int) -> list[tuple[float, bytes]]:
+        """How far the n best segmentations of a part lie behind the first, and their ids."""
         key = (part, n)
         if key not in self.found:
             if len(self.found) >= REMEMBERED // 8:
                 self.found.clear()
-            self.found[key] = self.n_best(part, n)
+            ways = self.n_best(part, n)
+            self.found[key] = [(ways[0][0] - score, b"".join([self.code.get(p) or self._codes(p) for p in cut])) for score, cut in ways]
         return self.found[key]
 
     def segment(self, part: str) -> tuple[bytes, float, float]:
@@ -276,38 +283,75 @@ class Pieces:
                     out += [SPACE + w for w in words[1:]]
         return out
 
-    def encode(self, texts: list[str], n: int) -> Iterator[tuple[bytes, list[float]]]:
-        """For each text the ids of its best segmentation and the scores of the n best."""
-        for i in range(0, len(texts), TOGETHER):
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            cut = [self.parts(t) for t in texts[i : i + TOGETHER]]
-            seen = [list(map(self.known.get, parts)) for parts in cut]
-            new: set[str] = set()
-            for parts, found in zip(cut, seen, strict=True):
-                if None in found:
-                    new.update([p for p, f in zip(parts, found, strict=True) if f is None and p is not None])
-            if new:
-                self.segment_all(list(new))
-            for parts, found in zip(cut, seen, strict=True):
-                if None in found:
-                    found = [f or (self.literal if p is None else self.known[p]) for f, p in zip(found, parts, strict=True)]
-                codes = b"".join([f[0] for f in found])
-                score, gaps = sum([f[1] for f in found]), [0.0]
-                behind = [f[2] for f in found]
-                # The n best differ from the best in the n - 1 parts at most whose second best is nearest.
-                for _ in range(min(n - 1, len(behind))):
-                    if (least := min(behind)) == _NEVER:
-                        break
-                    at = behind.index(least)
-                    behind[at] = _NEVER
-                    ways = self.alternatives(parts[at], n)
-                    gaps = sorted(g + ways[0][0] - w[0] for g in gaps for w in ways)[:n]
-                yield codes, [score - g for g in gaps]
-
-    def decode(self, codes: bytes) -> str:
-        text = b"".join(map(self.table.__getitem__, np.frombuffer(codes, "<i4").tolist()))
-        return (text[1:] if text[:1] == b" " else text).decode()
+    def encode(self, texts: list[str], n: int) -> list[list[tuple[float, bytes]]]:
+        """For each text its n best segmentations, best first: score and ids (little-endian 32 bits)."""
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        plain = [not (t[:1] == " " or "  " in t or SPACE in t or "\0" in t) for t in texts]
+        cut = self._cut_all([t for t, p in zip(texts, plain, strict=True) if p])
+        out = iter(self._put_together(*cut, n))
+        odd = iter(self._put_together(*self._numbered([self.parts(t) for t, p in zip(texts, plain, strict=True) if not p]), n))
+        return [next(out if p else odd) for p in plain]
+
+    @staticmethod
+    def _cut_all(texts: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """parts() of texts without doubled, leading or literal space marks and without NUL, by Arrow: numbered()."""
+        marked = pc.replace_substring(pa.array([SPACE + t if t else "" for t in texts], pa.large_string()), " ", "\0" + SPACE)
+        distinct, codes, at = numbered(pc.split_pattern(pc.replace_substring(marked, "\n", "\0\n\0"), "\0"))
+        return distinct.to_pylist(), codes, at
+
+    @staticmethod
+    def _numbered(parts: list[list[str | None]]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        number: dict[str | None, int] = {}
+        codes = [number.setdefault(p, len(number)) for text in parts for p in text]
+        return list(number), np.array(codes, np.int64), np.cumsum([0, *map(len, parts)])
+
+    def _put_together(self, distinct: list[str | None], codes: np.ndarray, at: np.ndarray, n: int) -> list[list[tuple[float, bytes]]]:
+        """N best of texts from those of their parts, numbered among the distinct ones."""
+        self.segment_all([p for p in distinct if p is not None and p not in self.known])
+        found = [self.literal if p is None else self.known[p] for p in distinct]
+        flat = pa.array([f[0] for f in found], pa.large_binary()).take(pa.array(codes))
+        place = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        data = flat.buffers()[2] or pa.py_buffer(b"")
+        size = np.diff(at)
+        text = np.repeat(np.arange(len(size)), size)
+        scores = np.bincount(text, np.array([f[1] for f in found])[codes], len(size)) if len(codes) else np.zeros(len(size))
+        # The n best differ from the best in the n - 1 parts at most whose second best is nearest.
+        behind, near = np.array([f[2] for f in found])[codes], [[] for _ in size]
+        some = np.flatnonzero(size)
+        for _ in range(n - 1 if len(some) else 0):
+            least = np.minimum.reduceat(behind, at[some])
+            hits = np.flatnonzero((behind == np.repeat(least, size[some])) & (behind < _NEVER))
+            of, first = np.unique(text[hits], return_index=True)
+            for i, k in zip(of.tolist(), hits[first].tolist(), strict=True):
+                near[i].append(k)
+            behind[hits[first]] = _NEVER
+        out = []
+        for i, score in enumerate(scores.tolist()):
+            a, z = int(place[at[i]]), int(place[at[i + 1]])
+            best = data[a:z].to_pybytes()
+            ways: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
+            for k in near[i]:
+                other = self.alternatives(distinct[codes[k]], n)
+                ways = sorted(((gap + g, {**there, k: ids} if j else there) for gap, there in ways for j, (g, ids) in enumerate(other)), key=lambda w: w[0])[:n]
+            every = []
+            for gap, there in ways:
+                ids, done = [], 0
+                for k in sorted(there):
+                    ids += [best[done : int(place[k]) - a], there[k]]
+                    done = int(place[k + 1]) - a
+                every.append((score - gap, b"".join([*ids, best[done:]]) if there else best))
+            out.append(every)
+        return out
+
+    def decode(self, ids: pa.Array) -> list[bytes]:
+        """UTF-8 texts of a column of id lists."""
+        flat = self.pieces_of.take(ids.flatten())
+        place = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        data = flat.buffers()[2] or pa.py_buffer(b"")
+        at = np.asarray(ids.offsets)
+        texts = [data[i:j].to_pybytes() for i, j in zip(place[at[:-1] - at[0]].tolist(), place[at[1:] - at[0]].tolist(), strict=True)]
+        return [t[1:] if t[:1] == b" " else t for t in texts]
 
 
 _models: dict[str, Pieces] = {}
@@ -325,41 +369,64 @@ def model_at(path: str) -> Pieces:
     return _models[path]
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+    values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(ids))])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
 def _encode(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pieces", forget)
         model = model_at(path)
-        for b in batches:
+        for b in slices(batches, 4000):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            got = list(model.encode(texts, n))
+            got = model.encode(texts, n)
+            ids, many = _lists([ways[0][1] for ways in got]), np.cumsum([0, *(len(ways) - 1 for ways in got)]).astype(np.int32)
+            whole = [d == t.encode() for d, t in zip(model.decode(ids), texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"),
-                    pa.array([np.frombuffer(c, "<i4") for c, _ in got], pa.list_(pa.int32())),
-                    pa.array([s for _, s in got], pa.list_(pa.float64())),
-                    pa.array([zlib.crc32(c) for c, _ in got], pa.int64()),
-                    pa.array([model.decode(c) == t for (c, _), t in zip(got, texts, strict=True)]),
+                    b.column("doc_id"), ids, pa.array([[s for s, _ in ways] for ways in got], pa.list_(pa.float64())),
+                    pa.ListArray.from_arrays(pa.array(many), _lists([x for ways in got for _, x in ways[1:]])),
+                    pa.array([[zlib.crc32(x) for _, x in ways] for ways in got], pa.list_(pa.int64())), pa.array(whole),
                 ],
-                ["doc_id", "ids", "scores", "ids_crc32", "round_trip"],
-            )
+                ["doc_id", "ids", "scores", "others", "crc32s", "round_trip"],
+            )
 
     return run
 
 
 def encode(docs: DataFrame, path: str, n: int = 3) -> DataFrame:
-    """One row a document: doc_id, ids (best segmentation), scores (of the n best, best first), ids_crc32, round_trip.
+    """One row a document: doc_id, ids (best segmentation), scores (of the n best, best first), others (ids of the second to
+    the n-th best), crc32s (unsigned crc32 of each one's ids as little-endian 32-bit integers), round_trip.
 
-    round_trip: decoding the ids gives the text back. Null and empty texts have no ids and the one score 0. Fewer than n
-    scores: the text has no more segmentations. Equal scores count each. Rows that share a doc_id are encoded each. Other
-    columns are ignored. No rows give no rows.
+    round_trip: decoding the ids gives the text back. Null and empty texts have no ids, the one score 0 and no others. Fewer
+    than n scores: the text has no more segmentations. Equal scores count each; their order is fixed by the parts' own.
+    Rows that share a doc_id are encoded each. Other columns are ignored. No rows give no rows.
     """
-    tuned(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_encode(path, n), f"doc_id {kind}, ids array<int>, scores array<double>, ids_crc32 long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(_encode(path, n), f"doc_id {kind}, ids array<int>, scores array<double>, others array<array<int>>, crc32s array<long>, round_trip boolean")
+
+
+def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
+    """doc_id and text of rows with id lists. A null or empty list is the empty text; an id beyond the vocabulary fails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pieces", forget)
+        model = model_at(path)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.decode(b.column("ids")), pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+    ids = F.coalesce(column, F.array().cast("array<int>")).alias("ids")
+    return encoded.select("doc_id", ids).mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", *[F.get("scores", F.lit(i)).alias(f"score_{i + 1}") for i in range(3)], "round_trip")
+    """doc_id, n_pieces, ids_crc32 and the same of the other segmentations, three scores, round_trip."""
+    one = [F.get("scores", F.lit(i)).alias(f"score_{i + 1}") for i in range(3)]
+    more = [F.get("crc32s", F.lit(i)).alias("ids_crc32" if not i else f"ids_crc32_{i + 1}") for i in range(3)]
+    sizes = F.transform("others", lambda x: F.size(x).cast("long")).alias("n_pieces_others")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), *more, sizes, *one, "round_trip")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages from raw documents to encoded training text.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next one's
-docs. All but the last return the columns of documents.
+docs. All but the last return the columns of documents; other columns of docs are ignored, whatever their names.
+
+Null, empty and very long texts are documents like others: a text without words is kept by all stages unless the classifier
+rejects it. Rows that share a doc_id are judged each by its own text by the classifier and by decontamination, and are one
+document for near_dedup, which keeps or drops them together. Rows without doc_id are never near-duplicates, and come last
+for substring_dedup. Repeated rows stay repeated. An empty table gives an empty one at every stage; without labels
+the classifier rejects nothing, without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -9,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Workspace, table
-from quillmesh.llm.decontam import find_contamination
+from quillmesh.llm.common import Workspace, scratch, table
+from quillmesh.llm.decontam import drop_contaminated
 from quillmesh.llm.near_dup import near_duplicates
 from quillmesh.llm.pieces import digest, encode
 from quillmesh.llm.quality import score_quality
@@ -42,8 +48,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=("text", "lang", "source", "n_chars"))
-    return found.filter("kept").select(*COLUMNS)
+    return drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        before, docs = docs, ws.save(stage(spark, docs, sf_dir))
+        with scratch():  # a stage's own tables go as soon as its result is written
+            before, docs = docs, ws.save(stage(spark, docs, sf_dir))
         if i:
             ws.drop(before)
     return docs

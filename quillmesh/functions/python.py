@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,17 +46,29 @@ def snippet(body: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else snippet_of(b, list(t)) for b, t in zip(body, terms, strict=True)], dtype=object)
 
 
-def similarity_of(expected: str, actual: str) -> float:
-    """1 if empty or contained; else the covered share of words, or a sequence match where that is low and larger."""
-    e, a = (_SPACE.sub(" ", x or "").strip() for x in (expected, actual))
-    if not e or e in a:
-        return 1.0
-    want = Counter(t for t in re.findall(r"[0-9A-Za-z가-힣]+", e) if len(t) > 1)
-    have = Counter(t for t in re.findall(r"[0-9A-Za-z가-힣]+", a) if len(t) > 1)
-    covered = sum((want & have).values()) / max(1, sum(want.values()))
-    return covered if covered >= 0.6 else max(covered, difflib.SequenceMatcher(None, e, a, autojunk=False).ratio())
+#: What counts as a word of an extracted text, and the covered share from which no closer look is needed.
+EVIDENCE_WORD = re.compile("[0-9A-Za-z가-힣]{2,}")
+ENOUGH = 0.6
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity(expected: pd.Series, actual: pd.Series) -> pd.Series:
-    return pd.Series([similarity_of(e, a) for e, a in zip(expected, actual, strict=True)], dtype=float)
+def covered(expected: pd.Series, actual: pd.Series) -> pd.Series:
+    """The share of the expected words, repeats counted, that the other text has; 0 without any word."""
+    want, have = (s.map(lambda x: Counter(EVIDENCE_WORD.findall(x))) for s in (expected, actual))
+    return pd.Series([(w & h).total() / max(1, w.total()) for w, h in zip(want, have, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def alike(expected: pd.Series, actual: pd.Series, share: pd.Series) -> pd.Series:
+    """How far two texts match as sequences of characters; 0 where the share of words says enough."""
+    low = share < ENOUGH
+    return pd.Series([difflib.SequenceMatcher(None, e, a, autojunk=False).ratio() if x else 0.0 for e, a, x in zip(expected, actual, low, strict=True)], dtype=float)
+
+
+def similarity(expected: Column, actual: Column) -> Column:
+    """1 if nothing is expected or all of it is there as it stands; else the share of words or, where that is low, the better
+    of it and the match of characters. White space counts as single spaces."""
+    e, a = (F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")) for c in (expected, actual))
+    there = (e == "") | a.contains(e)
+    share = F.when(there, F.lit(1.0)).otherwise(covered(e, a))
+    return F.greatest(share, alike(e, a, share))

@@ -11,7 +11,8 @@ SHORT_PARTICLES = "상의은는이가을를:,，"
 END_MARKS = "?!.,:;，。"
 RULE_ENDINGS = ("규정", "규칙", "강령", "정관", "조례", "법", "시행령", "시행규칙")
 INACTIVE = ("superseded", "repealed", "inactive", "replaced", "abolished", "폐지", "실효", "대체")
-NAME_PREFIXES = ("충청남도", "충남", "한국", "재단법인", "(재)", "재단")
+#: Words before an institution's name that people leave out; callers add those of their region.
+NAME_PREFIXES = ("한국", "재단법인", "(재)", "재단")
 _PUNCT = r"[!-/:-@\[-`{-~]+"
 _QUOTES = "“”‘’「」『』"
 
@@ -72,9 +73,9 @@ def alias_key(name: Column | str) -> Column:
     return F.lower(F.regexp_replace(_col(name), r"(?U)[\s\-_·]+", ""))
 
 
-def aliases(slug: Column, label: Column) -> Column:
+def aliases(slug: Column, label: Column, prefixes: tuple[str, ...] = NAME_PREFIXES) -> Column:
     """Names of an institution: slug, label, and the label without a customary prefix if three characters are left."""
-    short = [F.when(label.startswith(p) & (F.length(label) - len(p) >= 3), F.substring(label, F.lit(len(p) + 1), F.length(label))) for p in NAME_PREFIXES]
+    short = [F.when(label.startswith(p) & (F.length(label) - len(p) >= 3), F.substring(label, F.lit(len(p) + 1), F.length(label))) for p in prefixes]
     return F.array_distinct(F.filter(F.array(slug, label, *short), lambda x: x.isNotNull() & (x != "")))
 
 
@@ -264,6 +265,17 @@ def yaml_scalar(x: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
+def is_slug(x: Column | str) -> Column:
+    """Lower-case letters, digits and inner single hyphens."""
+    return F.coalesce(_col(x).rlike(r"^[a-z0-9]+(-[a-z0-9]+)*$"), F.lit(False))
+
+
+def is_date(x: Column | str) -> Column:
+    """A day of the calendar written YYYY-MM-DD."""
+    c = _col(x)
+    return F.coalesce(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(False)) & F.try_to_date(c, "yyyy-MM-dd").isNotNull()
+
+
 def safe_path(path: Column | str) -> Column:
     """Relative, not empty, without '..' or '.' parts."""
     p = _col(path)

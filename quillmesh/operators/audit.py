@@ -96,9 +96,9 @@ def date_bucket(days: Column) -> Column:
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """The latest row of each key of a table and its changes."""
+    """The latest row of each key of a table and its changes; of several with one version the greatest by its other columns."""
     every = current.unionByName(changes)
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
+    w = Window.partitionBy(key).orderBy(F.col(version).desc(), *[F.col(c).desc() for c in every.columns if c not in (key, version)])
     return every.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

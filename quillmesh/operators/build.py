@@ -106,11 +106,11 @@ def verify_extraction(items: DataFrame, pages: DataFrame, n: int = 40, seed: int
     some = S.balanced_sample(items.filter(X.blank_to_null("body").isNotNull()), "rule", "item_id", n, seed)
     inside = some.select("item_id", "first_page", "last_page").join(pages, F.col("page").between(F.col("first_page"), F.col("last_page")))
     text = S.fold(inside, "item_id", "page", "text", "\n")
-    scored = some.join(text, "item_id", "left").withColumn("score", F.round(similarity("body", F.coalesce("folded", F.lit(""))), 4))
+    scored = some.join(text, "item_id", "left").withColumn("score", F.round(similarity(F.col("body"), F.col("folded")), 4))
     scored = scored.withColumn("status", A.verdict(F.col("score")))
     # A stated sample against all pages: n rows at most.
     wrong = scored.filter("status = 'mismatch'").select("item_id", F.col("first_page").alias("recorded"), "body")
-    tried = pages.crossJoin(F.broadcast(wrong)).select("item_id", "recorded", "page", similarity("body", "text").alias("score"))
+    tried = pages.crossJoin(F.broadcast(wrong)).select("item_id", "recorded", "page", similarity(F.col("body"), F.col("text")).alias("score"))
     return scored.select("item_id", "institution", "rule", "score", "status").join(A.best_page(tried).select("item_id", "actual", "distance"), "item_id", "left")
 
 
@@ -187,3 +187,11 @@ def page_windows(pages: DataFrame, size: Column) -> DataFrame:
     """Pages of a rulebook in windows of `size` for display."""
     n = F.row_number().over(Window.partitionBy("document").orderBy("page")) - 1
     return pages.withColumn("window", F.floor(n / size))
+
+
+def pack_for(packs: DataFrame, wanted: str | None = None) -> str | None:
+    """The institution asked for if its pack is loaded; without one, the default: the only pack, or the first by name."""
+    names = packs.select("institution").distinct()
+    if wanted and wanted.strip():
+        return wanted.strip() if names.filter(F.col("institution") == wanted.strip()).limit(1).count() else None
+    return names.agg(F.min("institution").alias("one")).head()["one"]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import shared_folder
 
 REVERSE_KINDS = ("Cites", "ApplyMutatis", "Delegates", "LegalBasis")
 FORWARD_KINDS = ("Delegates", "ApplyMutatis")
@@ -56,7 +55,7 @@ def forward_closure(edges: DataFrame, ids: DataFrame, kinds: tuple[str, ...] = F
     checkpoint folder, so plans stay short and a lost executor costs no level.
     """
     spark = edges.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmesh-")).rstrip("/") + f"/closure-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "closure")
     step = edges.filter(F.col("kind").isin(*kinds)).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
     start = ids.select("id", F.col("id").alias("reached")).distinct()
     start.write.parquet(f"{root}/level=0")

@@ -7,10 +7,14 @@ last bit of a logarithm never settles a tie; ties go to the lesser id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 
@@ -19,6 +23,10 @@ K1, B = 1.2, 0.75
 DEPTH = 4
 #: Queries that meet all documents at once; more go in further blocks.
 QUERY_BLOCK = 2000
+#: Rows of query terms that are broadcast at most; beyond it they are joined by a shuffle.
+BROADCAST_TERMS = 500_000
+#: Substrings that one pass over the texts looks for; more take further passes.
+PATTERNS = 200_000
 
 
 def matches(institution: str | None = None, rule: str | None = None, status: str | None = None, effective: str | None = None) -> Column:
@@ -33,33 +41,74 @@ def ranked(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> Data
     return hits.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter(F.col("rank") < k)
 
 
-def postings(docs: DataFrame, field: str) -> DataFrame:
-    """(term, id, tf, dl) of one field, distributed by term: the table that an index would store."""
-    split = docs.select("id", X.tokens(F.coalesce(F.col(field), F.lit(""))).alias("t"))
-    return split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def field_stats(docs: DataFrame, field: str) -> DataFrame:
-    """One row: number of documents and their mean length."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens(F.coalesce(F.col(field), F.lit(""))))).alias("avgdl"))
-
-
 def bm25(docs: DataFrame, query_tokens: DataFrame, boosts: dict[str, float]) -> DataFrame:
     """(query_id, id, score) of all documents that share a token with a query (query_id, term; distinct).
 
-    Any token suffices; lengths are exact. Only the queries' terms leave the postings.
+    Any token suffices; lengths are exact. Each field is cut into tokens once, and only the queries' terms leave the scan.
+    One exchange, by document, serves term counts, document frequencies and the scores of each query.
     """
-    wanted = query_tokens.select("term").distinct()
-    parts = []
-    for field, boost in boosts.items():
-        p = postings(docs, field).join(wanted, "term")
-        df = p.groupBy("term").agg(F.count("*").alias("df"))
-        p = p.join(df, "term").crossJoin(F.broadcast(field_stats(docs, field)))  # one row
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-        parts.append(p.select("term", "id", (boost * idf * F.col("tf") * (K1 + 1) / norm).alias("s")))
-    scored = reduce(DataFrame.unionByName, parts)
-    return scored.join(query_tokens, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
+    small = query_tokens.count() <= BROADCAST_TERMS
+    sized = F.broadcast if small else (lambda df: df)
+    fields = list(boosts)
+    cut = docs.select("id", *[X.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)])
+    numbered = lambda i: F.transform(f"t{i}", lambda t: F.struct(F.lit(i).alias("f"), F.size(f"t{i}").alias("dl"), t.alias("term")))
+    each = F.concat(*map(numbered, range(len(fields))))
+    found = cut.select("id", F.explode(each).alias("x")).select("id", "x.*").join(sized(query_tokens.select("term").distinct()), "term")
+    posts = found.repartition("id").groupBy("id", "f", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    df = posts.groupBy("f", "term").agg(F.count("*").alias("df"))
+    lengths = [F.avg(F.size(f"t{i}")).alias(f"a{i}") for i in range(len(fields))]
+    stats = cut.agg(F.count("*").alias("n"), *lengths)  # one row
+    scored = posts.join(sized(df), ["f", "term"]).crossJoin(F.broadcast(stats))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    pick = lambda values: F.get(F.array(*values), F.col("f"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / pick([F.col(f"a{i}") for i in range(len(fields))]))
+    scored = scored.select("id", "term", (pick([F.lit(float(x)) for x in boosts.values()]) * idf * F.col("tf") * (K1 + 1) / norm).alias("s"))
+    return scored.join(sized(query_tokens), "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
+
+
+def occurrences(docs: DataFrame, weights: list[tuple[tuple[str, ...], float]], patterns: DataFrame) -> DataFrame:
+    """(id, pattern, weight): the strings of patterns (one column) that occur in a document, by one pass over each text.
+
+    A weight counts if one of its columns holds the pattern. The patterns are a stated set of queries: they go to the workers
+    as one automaton, PATTERNS of them at a time, so no pair of a document and a pattern is formed that shares nothing.
+    """
+    names = list(dict.fromkeys(c for columns, _ in weights for c in columns))
+    some = patterns.select(F.col(patterns.columns[0]).alias("p")).filter("p != ''").distinct()
+    blocks = max(1, -(-some.count() // PATTERNS))
+
+    def search(known: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            tree = ahocorasick.Automaton()
+            for i, p in enumerate(known):
+                tree.add_word(p, i)
+            tree.make_automaton()
+            for b in batches:
+                for start in range(0, b.num_rows, 500):
+                    part = b.slice(start, 500)
+                    ids, at, score = [], [], []
+                    texts = {c: part.column(c).to_pylist() for c in names}
+                    for row, key in enumerate(part.column("id").to_pylist()):
+                        hits = {c: {i for _, i in tree.iter(texts[c][row])} if texts[c][row] else set() for c in names}
+                        total: dict[int, float] = {}
+                        for columns, w in weights:
+                            for i in set().union(*(hits[c] for c in columns)):
+                                total[i] = total.get(i, 0.0) + w
+                        ids += [key] * len(total)
+                        at += total.keys()
+                        score += total.values()
+                    table = pa.array(known, pa.string()).take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), table, pa.array(score, pa.float64())], ["id", "pattern", "weight"])
+
+        return run
+
+    rows, parts = docs.select("id", *names), []
+    for k in range(blocks):
+        known = sorted(r["p"] for r in some.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == k).collect())  # a block of the query set
+        if known:
+            parts.append(rows.mapInArrow(search(known), "id string, pattern string, weight double"))
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], "id string, pattern string, weight double")
 
 
 def with_terms(queries: DataFrame) -> DataFrame:
@@ -92,32 +141,14 @@ def _after(hits: DataFrame, docs: DataFrame, where: Column | None, k: int) -> Da
     return ranked(hits.drop("rank").join(docs.filter(where).select("id"), "id"), DEPTH * k)
 
 
-def _against_all(docs: DataFrame, queries: DataFrame, score: Column, k: int) -> DataFrame:
-    """Queries against all documents, in blocks of QUERY_BLOCK queries, which bounds what is broadcast."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
-    for i in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        hits = docs.crossJoin(F.broadcast(own)).select("query_id", "id", score.alias("score")).filter("score is not null")
-        parts.append(ranked(hits, DEPTH * k))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def lexical_score(terms: Column, annex: bool = False) -> Column:
-    """Per term 3 for the rule, 2 title, 1.5 label, 1 body, by substring; annexes also in their compact form."""
-    has = lambda f, t: F.coalesce(F.col(f).contains(t), F.lit(False))
-    title = lambda t: has("title", t) | has("compact_title", t) if annex else has("title", t)
-    body = lambda t: has("body", t) | has("compact_body", t) if annex else has("body", t)
-    part = lambda cond, w: F.when(cond, F.lit(w)).otherwise(F.lit(0.0))
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + part(has("rule", t), 3.0) + part(title(t), 2.0) + part(has("label", t), 1.5) + part(body(t), 1.0))
-
-
 def lexical_route(docs: DataFrame, queries: DataFrame, k: int, where: Column | None = None, annex: bool = False) -> DataFrame:
-    """Substring scores; the filter comes first."""
+    """Substring scores: per term 3 for the rule, 2 title, 1.5 label, 1 body; of annexes also their compact forms. The filter comes first."""
     some = docs if where is None else docs.filter(where)
-    s = lexical_score(F.col("terms"), annex)
-    return _against_all(some, with_terms(queries).select("query_id", "terms"), F.when(s > 0, s), k)
+    more = lambda c: (c, f"compact_{c}") if annex else (c,)
+    terms = with_terms(queries).select("query_id", F.explode("terms").alias("pattern"))
+    found = occurrences(some, [(("rule",), 3.0), (more("title"), 2.0), (("label",), 1.5), (more("body"), 1.0)], terms.select("pattern"))
+    asked = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    return ranked(found.join(asked, "pattern").groupBy("query_id", "id").agg(F.sum("weight").alias("score")), DEPTH * k)
 
 
 def annex_route(annexes: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
@@ -136,9 +167,54 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_route(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """Exact cosine of queries (query_id, query_vector) and vectors (id, embedding); the filter comes first."""
-    some = vectors if where is None else vectors.filter(where)
-    return _against_all(some, queries.select("query_id", "query_vector"), cosine(F.col("embedding"), F.col("query_vector")), k)
+    """Exact cosine of queries (query_id, query_vector) and vectors (id, embedding); the filter comes first.
+
+    Each block of queries is a matrix that goes to the workers; a batch of vectors takes one product, and only what can be
+    among a query's best leaves it. Vectors of another length than the query's, or of zero norm, have no score.
+    """
+    some = (vectors if where is None else vectors.filter(where)).select("id", "embedding")
+    kind = dict(queries.dtypes)["query_id"]
+    key = to_arrow_type(queries.schema["query_id"].dataType)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+
+    def unit(rows: list[list[float]]) -> np.ndarray:
+        m = np.array(rows, np.float64).reshape(len(rows), -1)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+
+    def search(asked: dict[int, tuple[list, list[list[float]]]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matrices = {size: (ids, unit(rows)) for size, (ids, rows) in asked.items()}
+            for b in batches:
+                rows = b.column("embedding").to_pylist()
+                ids, out = b.column("id").to_pylist(), ([], [], [])
+                for size, (names, q) in matrices.items():
+                    fits = [i for i, r in enumerate(rows) if r is not None and len(r) == size and None not in r]
+                    if not fits:
+                        continue
+                    scores = np.round(unit([rows[i] for i in fits]) @ q.T, 12)
+                    for j, name in enumerate(names):
+                        s = scores[:, j]
+                        real = np.flatnonzero(~np.isnan(s))
+                        if len(real) > DEPTH * k:  # all that tie with the last of the best stay, up to what rounding may move
+                            real = real[s[real] >= np.partition(s[real], -DEPTH * k)[-DEPTH * k] - 1e-8]
+                        out[0].extend([name] * len(real))
+                        out[1].extend(ids[fits[i]] for i in real.tolist())
+                        out[2].extend(s[real].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], key), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query_id", "id", "score"])
+
+        return run
+
+    parts = []
+    for i in range(blocks):
+        asked: dict[int, tuple[list, list]] = {}
+        for r in queries.select("query_id", "query_vector").filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect():  # a block of the query set
+            if r["query_vector"] and None not in r["query_vector"]:
+                names, rows = asked.setdefault(len(r["query_vector"]), ([], []))
+                names.append(r["query_id"])
+                rows.append(r["query_vector"])
+        parts.append(ranked(some.mapInArrow(search(asked), f"query_id {kind}, id string, score double"), DEPTH * k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fuse(routes: list[tuple[DataFrame, float]], k: int, rrf_k: int = 60, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -186,7 +262,9 @@ def search(docs: DataFrame, annexes: DataFrame, queries: DataFrame, k: int = 5,
     lexical = ranked(lexical.drop("rank"), DEPTH * k)
     routes = [(annex_route(annexes, queries, k, where), 1.0), (bm25_route(both, queries, k, where), 1.0)]
     if vectors is not None:
-        routes.append((vector_route(vectors[0], vectors[1], k, None), vector_weight))
+        # The filter comes first here too: a vector whose document fails it takes no place.
+        kept = vectors[0] if where is None else vectors[0].join(both.filter(where).select("id"), "id", "left_semi")
+        routes.append((vector_route(kept, vectors[1], k), vector_weight))
     routes += [(rule_route(both, queries, k, where), 1.0), (lexical, 1.0)]
     retrieval = fuse(routes, k, rrf_k)
     pin = pins(docs, annexes, queries, where, rule)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.python import similarity
 from ..operators import audit as A
 from ..operators import documents as D
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import sequence as S
 from ..registry import query
+from ..sources.shared import shared_folder
 from .views import ANNEXES, ARTICLES, EDGES, annexes, articles, edges, table
 
 _A = f"WITH {ARTICLES}"
@@ -417,10 +417,8 @@ def token_overlap(spark, sf):
 @query()
 def similarity_score(spark, sf):
     """Similarity of a question and its answer, and the verdict."""
-    from ..functions.python import similarity
-
     c = S.previous_by_role(table(spark, sf, "conversations"), "conv_id", "turn").filter("role = 'assistant' and previous is not null")
-    s = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), similarity("previous", "text").alias("score"))
+    s = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), similarity(F.col("previous"), F.col("text")).alias("score"))
     return s.select("pair_id", F.round("score", 4).alias("score"), A.verdict(F.col("score")).alias("status"))
 
 
@@ -570,15 +568,14 @@ def annex_titles(spark, sf):
     return x.filter(~F.col("body").rlike(r"^(##|\||\[별표|<별표)")).select("id", D.annex_title(F.col("label"), F.col("title"), F.col("body")).alias("title"))
 
 
-@query()
+@query(f"WITH {_QLOG} SELECT key, count(*)::BIGINT AS n, count_if(miss)::BIGINT AS misses FROM q WHERE key <> '' GROUP BY key")
 def log_stream_counts(spark, sf):
     """S17, 2.12: question counts from a file stream, all that is there."""
-    from ..operators.audit import top_questions  # noqa: F401
     from ..streaming import logs
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmesh-")).rstrip("/") + "/stream-" + tempfile.mktemp(dir="").strip("/")
+    root = shared_folder(spark, "stream")
     q = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("conv_id").cast("string").alias("ts"), F.col("text").alias("question"), (F.col("conv_id") % 4 == 0).alias("miss"))
     q.write.json(f"{root}/in")
     stream = spark.readStream.schema("ts string, question string, miss boolean").json(f"{root}/in")
     keyed = stream.select("miss", X.normalize_question("question").alias("key")).filter("key != ''")
-    return logs.run_once(logs.counts(keyed), "log_stream_counts", f"{root}/state").select("key", "n", "misses")
+    return logs.run_once(logs.counts(keyed), root).select("key", "n", "misses")

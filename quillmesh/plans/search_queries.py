@@ -10,7 +10,7 @@ from ..operators import audit as A
 from ..operators import compare as C
 from ..operators import retrieval as R
 from ..registry import query
-from .views import ANNEXES, ARTICLES, QUESTIONS, TERMS, annexes, articles, questions, table, whole_questions
+from .views import ANNEXES, ARTICLES, QUESTIONS, TERMS, annexes, articles, questions, table
 
 K = 5
 _ACTIVE = "status NOT SIMILAR TO '.*(superseded|repealed|inactive|replaced|abolished).*'"
@@ -38,38 +38,38 @@ def out(df: DataFrame, *more: str) -> DataFrame:
     return df.select("query_id", "id", F.round("score", 6).alias("score"), "rank", *more)
 
 
-def _views(spark: SparkSession, sf: str, asked=questions) -> tuple[DataFrame, DataFrame]:
-    return articles(spark, sf, None if asked is whole_questions else 80), asked(spark, sf)
+def _views(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return articles(spark, sf), questions(spark, sf)
 
 
 @query(f"WITH {QUESTIONS}, {TERMS} SELECT query_id, string_agg(t, '|' ORDER BY p) AS terms, count(*)::BIGINT AS n FROM terms GROUP BY query_id")
-def query_terms(spark, sf, asked=questions):
+def query_terms(spark, sf):
     """Search terms of each question."""
-    return asked(spark, sf).select("query_id", X.query_terms("q").alias("t")).select("query_id", F.array_join("t", "|").alias("terms"), F.size("t").cast("long").alias("n"))
+    return questions(spark, sf).select("query_id", X.query_terms("q").alias("t")).select("query_id", F.array_join("t", "|").alias("terms"), F.size("t").cast("long").alias("n"))
 
 
 @query(f"{_BASE}, {BM25} {_OUT} bm25_route")
-def search_bm25(spark, sf, asked=questions):
+def search_bm25(spark, sf):
     """BM25 over title and body, the best 4k."""
-    return out(R.bm25_route(*_views(spark, sf, asked), K))
+    return out(R.bm25_route(*_views(spark, sf), K))
 
 
 @query(f"{_BASE}, {BM25}, f AS (SELECT r.query_id, r.id, r.score FROM bm25_route r JOIN articles a USING (id) WHERE a.status = 'active') {_OUT} (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM f)")
-def post_filter_topk(spark, sf, asked=questions):
+def post_filter_topk(spark, sf):
     """The filter comes after the cut."""
-    return out(R.bm25_route(*_views(spark, sf, asked), K, F.col("status") == "active"))
+    return out(R.bm25_route(*_views(spark, sf), K, F.col("status") == "active"))
 
 
 @query(f"{_BASE}, {LEXICAL} {_OUT} lexical_route")
-def search_lexical(spark, sf, asked=questions):
+def search_lexical(spark, sf):
     """Weighted substring scores."""
-    return out(R.lexical_route(*_views(spark, sf, asked), K))
+    return out(R.lexical_route(*_views(spark, sf), K))
 
 
 @query(f"{_BASE}, {LEXICAL.replace('FROM articles, terms', 'FROM (SELECT * FROM articles WHERE status = ' + chr(39) + 'active' + chr(39) + ') a, terms')} {_OUT} lexical_route")
-def pre_filter_topk(spark, sf, asked=questions):
+def pre_filter_topk(spark, sf):
     """The filter comes first."""
-    return out(R.lexical_route(*_views(spark, sf, asked), K, R.matches(status="active", rule=" ")))
+    return out(R.lexical_route(*_views(spark, sf), K, R.matches(status="active", rule=" ")))
 
 
 def _rule_questions(spark, sf):
@@ -112,25 +112,25 @@ def search_vector_filtered(spark, sf):
 
 
 @query(f"{_BASE}, {BM25}, {LEXICAL}, {HYBRID} {_OUT} hybrid")
-def rrf_fuse(spark, sf, asked=questions):
+def rrf_fuse(spark, sf):
     """Reciprocal-rank fusion of two routes."""
-    d, q = _views(spark, sf, asked)
+    d, q = _views(spark, sf)
     return out(R.fuse([(R.bm25_route(d, q, K), 1.0), (R.lexical_route(d, q, K), 1.0)], K))
 
 
 @query(f"""{_BASE}, {BM25}, {LEXICAL}, rrf AS (SELECT query_id, id, sum(part) AS score FROM (SELECT query_id, id, 0.5 / (20 + rank + 1) AS part FROM bm25_route UNION ALL SELECT query_id, id, 2.0 / (20 + rank + 1) FROM lexical_route) GROUP BY query_id, id)
 {_OUT} (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM rrf QUALIFY rank < 5)""")
-def rrf_weighted(spark, sf, asked=questions):
+def rrf_weighted(spark, sf):
     """Weights, another constant, and a route of no weight."""
-    d, q = _views(spark, sf, asked)
+    d, q = _views(spark, sf)
     b = R.bm25_route(d, q, K)
     return out(R.fuse([(b, 0.0), (b, 0.5), (R.lexical_route(d, q, K), 2.0)], K, rrf_k=20))
 
 
 @query(f"{_BASE}, {BM25}, {LEXICAL}, {HYBRID} SELECT query_id, id, round(score, 6) AS score, rank::BIGINT AS rank, title FROM hybrid JOIN articles USING (id)")
-def search_hybrid_topk(spark, sf, asked=questions):
+def search_hybrid_topk(spark, sf):
     """3.1: hybrid search over documents, with their titles. The flagship."""
-    d, q = _views(spark, sf, asked)
+    d, q = _views(spark, sf)
     none = d.filter(F.lit(False))
     hits = R.search(d, none, q, K)["hits"]
     return out(hits.join(d.select("id", "title"), "id"), "title")
@@ -141,7 +141,7 @@ def _full_pack(spark, sf):
 
     A document's vector is that of embeddings with its number; a question that names an article has the article's own.
     """
-    a = articles(spark, sf, None).withColumn("rule", F.concat("rule", F.lit("규정"))).withColumn("label", F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조"))).withColumn("id", F.concat("rule", F.lit("#"), "label"))
+    a = articles(spark, sf).withColumn("rule", F.concat("rule", F.lit("규정"))).withColumn("label", F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조"))).withColumn("id", F.concat("rule", F.lit("#"), "label"))
     x = annexes(spark, sf)
     some, named = a.filter("doc_id % 50 = 0"), x.filter("page_id % 50 = 0")
     qa = some.select((F.col("doc_id") + 1000000000).alias("query_id"), F.concat("rule", F.lit("상 "), "label", F.lit("는 무엇인가?")).alias("q"))
@@ -150,7 +150,7 @@ def _full_pack(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     vectors = a.select("doc_id", "id").join(e, "doc_id").select("id", "embedding")
     asked = some.select("doc_id").join(e, "doc_id").select((F.col("doc_id") + 1000000000).alias("query_id"), F.col("embedding").alias("query_vector"))
-    return a, x, whole_questions(spark, sf).union(qa).union(qx).union(qr), (vectors, asked)
+    return a, x, questions(spark, sf).union(qa).union(qx).union(qr), (vectors, asked)
 
 
 @query()
@@ -203,9 +203,9 @@ def annex_reference_route(spark, sf):
 @query(f"""{_BASE}, {BM25}, r AS (SELECT query_id, institution, id, row_number() OVER (PARTITION BY query_id, institution ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm25 JOIN articles USING (id) QUALIFY rank < 5),
 s AS (SELECT query_id, institution || '/' || id AS id, 1.0 / (60 + rank + 1) AS score FROM r)
 {_OUT} (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM s QUALIFY rank < 5)""")
-def multi_pack_merge(spark, sf, asked=questions):
+def multi_pack_merge(spark, sf):
     """Each institution ranked by itself, then fused once more."""
-    d, q = _views(spark, sf, asked)
+    d, q = _views(spark, sf)
     hits = R.bm25(d, R.query_tokens(R.with_terms(q)), {"title": 2.0, "body": 1.0}).join(d.select("id", "institution"), "id")
     return out(R.merge_packs(R.ranked(hits, K, ("query_id", "institution")), K))
 
@@ -224,9 +224,9 @@ lt AS (SELECT query_id, list(DISTINCT regexp_replace(lower(w), '^[!-/:-@\\[-`{{-
 c AS (SELECT h.*, lower(rule || chr(1) || title || chr(1) || label || chr(1) || body) AS x, lt.q AS lq, list_filter(ts, lambda t: t <> '') AS ts FROM h JOIN articles a USING (id) JOIN lt USING (query_id) WHERE {_ACTIVE.replace('status', 'a.status')}),
 m AS (SELECT *, CASE WHEN contains(x, lq) THEN 'ExactMatch' WHEN len(list_filter(ts, lambda t: NOT contains(x, t))) = 0 AND len(ts) > 0 THEN 'LexicalMatch' ELSE 'SemanticCandidate' END AS match FROM c)
 SELECT query_id, institution, id, match, (row_number() OVER (PARTITION BY query_id, institution ORDER BY round(score, 9) DESC, id) - 1)::BIGINT AS rank, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id, institution ORDER BY round(score, 9) DESC, id) <= 3""")
-def compare_rules(spark, sf, asked=questions):
+def compare_rules(spark, sf):
     """The best active documents of each institution with their class of match."""
-    d, q = _views(spark, sf, asked)
+    d, q = _views(spark, sf)
     topics = q.select("query_id", F.col("q").alias("topic"), F.lit(0).alias("variant_no"), "q")
     return C.compare(d, topics).select("query_id", "institution", "id", "match", "rank", F.round("score", 6).alias("score"))
 
@@ -235,25 +235,25 @@ def compare_rules(spark, sf, asked=questions):
 c AS (SELECT *, coalesce(sum(need) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM b),
 e AS (SELECT *, greatest(0, least(need, 24000 - spent)) AS allowed FROM c)
 SELECT query_id, rank::BIGINT AS rank, CASE WHEN spent >= 24000 THEN 'omitted' WHEN allowed = n THEN 'full' ELSE 'truncated' END AS body_state, (CASE WHEN spent < 24000 THEN length(substring(body, 1, allowed::INT)) END)::BIGINT AS n_chars FROM e""")
-def body_budget(spark, sf, asked=questions):
+def body_budget(spark, sf):
     """Character limits for each body and for the response."""
-    d, q = _views(spark, sf, asked)
+    d, q = _views(spark, sf)
     hits = R.bm25_route(d, q, K).filter("rank < 10").join(d.select("id", "body"), "id")
     return C.body_budget(hits, "query_id", "rank").select("query_id", "rank", "body_state", F.length("body").cast("long").alias("n_chars"))
 
 
 @query()
-def snippet(spark, sf, asked=questions):
+def snippet(spark, sf):
     """The window with most terms, for final hits."""
-    d, q = _views(spark, sf, asked)
+    d, q = _views(spark, sf)
     return R.snippets(R.bm25_route(d, q, K).filter("rank < 5"), d, q).select("query_id", "id", "snippet")
 
 
 def _golden(spark, sf):
     """Questions with the documents that hold their whole item."""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    d = articles(spark, sf).select("id", "body")
-    found = d.join(F.broadcast(b), F.contains("body", "item")).groupBy("query_id").agg(F.collect_list("id").alias("expect"))  # a stated set of items
+    hits = R.occurrences(articles(spark, sf).select("id", "body"), [(("body",), 1.0)], b.select("item"))
+    found = hits.join(b, F.col("pattern") == F.col("item")).groupBy("query_id").agg(F.collect_list("id").alias("expect"))
     return b.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("expect", F.array().cast("array<string>")).alias("expect"))
 
 
@@ -261,9 +261,9 @@ _EVAL = """e AS (SELECT b.item_id AS query_id, a.id FROM benchmark b JOIN articl
 
 
 @query(f"{_BASE}, {BM25}, {_EVAL.format(hits='(SELECT * FROM bm25_route WHERE rank < 5)')} SELECT item_id AS query_id, item_id IN (SELECT query_id FROM ok) AS hit FROM benchmark")
-def eval_hits(spark, sf, asked=questions):
+def eval_hits(spark, sf):
     """hit@5 of each golden question."""
-    return A.eval_hits(_golden(spark, sf), R.bm25_route(*_views(spark, sf, asked), K), K)
+    return A.eval_hits(_golden(spark, sf), R.bm25_route(*_views(spark, sf), K), K)
 
 
 @query(f"""{_BASE}, {BM25}, {LEXICAL}, e AS (SELECT b.item_id AS query_id, a.id FROM benchmark b JOIN articles a ON contains(a.body, b.text)),
@@ -272,9 +272,9 @@ rrf AS (SELECT k, w, query_id, id, sum(part) AS score FROM (SELECT k, w, query_i
 top AS (SELECT *, row_number() OVER (PARTITION BY k, w, query_id ORDER BY round(score, 9) DESC, id) AS r FROM rrf QUALIFY r <= 5),
 ok AS (SELECT DISTINCT k, w, query_id FROM top JOIN e USING (query_id, id))
 SELECT k::INTEGER AS rrf_k, w::DOUBLE AS weight, count(ok.query_id)::BIGINT AS hits FROM grid LEFT JOIN ok USING (k, w) GROUP BY k, w""")
-def sweep_grid(spark, sf, asked=questions):
+def sweep_grid(spark, sf):
     """P10: hits for each constant and weight, with the parameters as a dimension of one plan."""
-    d, q = _views(spark, sf, asked)
+    d, q = _views(spark, sf)
     grid = spark.createDataFrame([(k, w) for k in (20, 60, 100) for w in (0.5, 1.0, 2.0)], "rrf_k int, weight double")
     part = lambda r, w, o: r.crossJoin(F.broadcast(grid)).select("rrf_k", "weight", "query_id", "id", F.lit(o).alias("o"), (w / (F.col("rrf_k") + F.col("rank") + 1)).alias("p"))  # noqa: E731  nine rows
     rows = part(R.bm25_route(d, q, K), F.lit(1.0), 0).union(part(R.lexical_route(d, q, K), F.col("weight"), 1))
@@ -284,16 +284,3 @@ def sweep_grid(spark, sf, asked=questions):
     ok = top.join(want, ["query_id", "id"], "left_semi").select("rrf_k", "weight", "query_id").distinct().groupBy("rrf_k", "weight").agg(F.count("*").alias("hits"))
     return grid.join(ok, ["rrf_k", "weight"], "left").select("rrf_k", "weight", F.coalesce("hits", F.lit(0)).alias("hits"))
 
-
-def _whole(f):
-    """Registers a query once more, with whole benchmark items as questions and whole first lines as titles; the SQL has six words and 80 characters only."""
-
-    def run(spark, sf):
-        return f(spark, sf, whole_questions)
-
-    run.__name__, run.__doc__ = f"{f.__name__}_whole", f.__doc__
-    query()(run)
-
-
-for _f in (query_terms, search_bm25, post_filter_topk, search_lexical, pre_filter_topk, rrf_fuse, rrf_weighted, search_hybrid_topk, multi_pack_merge, compare_rules, body_budget, snippet, eval_hits, sweep_grid):
-    _whole(_f)

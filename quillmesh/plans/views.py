@@ -10,21 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str, title_chars: int | None = 80) -> DataFrame:
-    """documents: institution = lang, rule = source, label = doc_id, title = first line (of title_chars at most), status from labels.quality."""
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: institution = lang, rule = source, label = doc_id, title = first line, status from labels.quality."""
     line = F.substring_index("text", "\n", 1)
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     status = F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "repealed").otherwise("")
     month = F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0")
     return d.join(q, "doc_id", "left").select(
         "doc_id", F.concat("source", F.lit("#"), F.col("doc_id").cast("string")).alias("id"), F.lit("article").alias("kind"), F.col("lang").alias("institution"), F.col("source").alias("rule"),
-        F.col("doc_id").cast("string").alias("label"), (line if title_chars is None else F.substring(line, 1, title_chars)).alias("title"), F.col("text").alias("body"), status.alias("status"),
+        F.col("doc_id").cast("string").alias("label"), line.alias("title"), F.col("text").alias("body"), status.alias("status"),
         F.concat(F.lit("2025-"), month, F.lit("-01")).alias("effective"),
     )
 
 
 ARTICLES = """articles AS (
-  SELECT d.doc_id, source || '#' || d.doc_id AS id, 'article' AS kind, lang AS institution, source AS rule, d.doc_id::VARCHAR AS label, substring(string_split(text, chr(10))[1], 1, 80) AS title, text AS body,
+  SELECT d.doc_id, source || '#' || d.doc_id AS id, 'article' AS kind, lang AS institution, source AS rule, d.doc_id::VARCHAR AS label, string_split(text, chr(10))[1] AS title, text AS body,
     CASE WHEN quality = 1 THEN 'active' WHEN quality = 0 THEN 'repealed' ELSE '' END AS status, '2025-' || lpad((d.doc_id % 12 + 1)::VARCHAR, 2, '0') || '-01' AS effective
   FROM documents d LEFT JOIN (SELECT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id
 )"""
@@ -48,17 +48,11 @@ ANNEXES = r"""annexes AS (
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark: the first six words of an item as a question."""
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 6), " ").alias("q"))
-
-
-def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark: the whole text of an item as a question."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
 
 
-QUESTIONS = r"""questions AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:6], ' ') AS q FROM benchmark)"""
+QUESTIONS = """questions AS (SELECT item_id AS query_id, text AS q FROM benchmark)"""
 
 #: Terms of a question, as functions.text.query_terms makes them of text without Korean endings.
 TERMS = r"""words AS (SELECT query_id, q, w, i FROM (SELECT query_id, q, unnest(string_split_regex(q, '\s+')) AS w, unnest(range(len(string_split_regex(q, '\s+')))) AS i FROM questions) WHERE w <> ''),

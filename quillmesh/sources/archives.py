@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
 from pathlib import Path, PurePosixPath
 
@@ -38,14 +37,12 @@ def pack(folder: str, archive: str, level: int = 19) -> None:
     """A folder as .tar.zst, names sorted, without times or owners, so equal folders give equal archives."""
     import zstandard
 
-    raw = io.BytesIO()
-    with tarfile.open(fileobj=raw, mode="w") as tar:
+    with open(archive, "wb") as f, zstandard.ZstdCompressor(level=level).stream_writer(f) as out, tarfile.open(fileobj=out, mode="w|") as tar:
         for p in sorted(x for x in Path(folder).rglob("*") if x.is_file()):
             info = tarfile.TarInfo(str(p.relative_to(folder)))
             info.size = p.stat().st_size
-            with p.open("rb") as f:
-                tar.addfile(info, f)
-    Path(archive).write_bytes(zstandard.ZstdCompressor(level=level).compress(raw.getvalue()))
+            with p.open("rb") as member:
+                tar.addfile(info, member)
 
 
 def resolve(spark: SparkSession, path: str, institution: str) -> dict:

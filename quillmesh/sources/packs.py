@@ -176,6 +176,15 @@ def render_markdown(docs: DataFrame) -> DataFrame:
     return docs.select("id", head.alias("text"))
 
 
+def render_annexes(docs: DataFrame) -> DataFrame:
+    """(id, text): annexes as Markdown with frontmatter in a fixed order of keys."""
+    line = lambda k, v: F.concat(F.lit(f"{k}: "), v)
+    named = [line(k, X.yaml_scalar(F.coalesce(c, F.lit("")))) for k, c in (("institution", "institution"), ("rule", "rule"), ("annex", "label"), ("title", "title"), ("effective", "effective"), ("status", "status"))]
+    pages = F.concat(F.lit("["), F.array_join(F.transform("pages", lambda p: p.cast("string")), ", "), F.lit("]"))
+    flag = F.coalesce("table_structured", F.lit(False)).cast("string")
+    return docs.select("id", F.concat_ws("\n", F.lit("---"), F.lit("type: annex"), *named, line("pages", pages), line("table_structured", flag), F.lit("---"), F.lit(""), F.col("body")).alias("text"))
+
+
 def write_pages(pages: DataFrame, path: str) -> None:
     """One text file a page, below a folder of its number."""
     pages.select(F.format_string("%04d", "page").alias("page"), "text").write.partitionBy("page").text(path)
@@ -187,5 +196,5 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def manifest_of(spark: SparkSession, path: str, meta: dict) -> dict:
     """The manifest of a folder: each file but the manifest itself with its digest."""
-    files = file_hashes(spark, path).filter("path != 'manifest.json'").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256")))).alias("f")).head()["f"]
-    return {"schema_version": 1, **meta, "files": dict(files or {})}
+    files = file_hashes(spark, path).filter("path != 'manifest.json'").orderBy("path")
+    return {"schema_version": 1, **meta, "files": {r["path"]: r["sha256"] for r in files.toLocalIterator()}}  # the manifest is one file

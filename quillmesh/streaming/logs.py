@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.packs import QLOG
+from ..sources.packs import QLOG, exists
 
 
 def question_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,8 +29,16 @@ def sessions(events: DataFrame, at: str, by: str, gap: str, late: str) -> DataFr
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap), by).agg(F.count("*").alias("n"))
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Processes what is there, then stops; the result as a table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """Processes what is there, then stops; the result as a table below `folder`, which executors write, not the driver.
+
+    Each batch replaces the table by all keys so far. Nothing to process leaves an empty table.
+    """
+    out = f"{folder}/result"
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(out) if exists(spark, out) else spark.createDataFrame([], stream.schema)

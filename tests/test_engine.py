@@ -28,7 +28,7 @@ def values(spark, column, *inputs):
 
 
 def test_slugs(spark):
-    assert values(spark, lambda c: X.slugify(P.nfc(c)), " 여비 지급 규칙 ", "안전 · 보건 관리규칙", "A/B: CNI Rules!", "é 규정", "!!!") == ["여비지급규칙", "안전·보건관리규칙", "ABCNIRules", "é규정", "e84c538e7fe2"]
+    assert values(spark, lambda c: X.slugify(P.nfc(c)), " 여비 지급 규칙 ", "안전 · 보건 관리규칙", "A/B: ABC Rules!", "é 규정", "!!!") == ["여비지급규칙", "안전·보건관리규칙", "ABABCRules", "é규정", "e84c538e7fe2"]
 
 
 def test_query_terms(spark):
@@ -67,23 +67,27 @@ def test_text_functions(spark):
     assert values(spark, lambda c: X.table_markdown(rows), "") == ["| a | b\\|c |\n| --- | --- |\n| x<br>y |  |"]
 
 
-def test_snippet_and_similarity():
+def test_snippet_and_similarity(spark):
     body = "가" * 200 + "교통비 기준" + "나" * 200
     s = P.snippet_of(body, ["교통비", "기준"])
     assert len(s) == 120 and s.startswith("가" * 41 + "교통비 기준")
     assert P.snippet_of("짧은 글", ["없음"]) == "짧은 글"
-    assert P.similarity_of("", "x") == 1 and P.similarity_of("a b", "x a b y") == 1 and P.similarity_of("hello world", "bye moon") < 0.6
+    pairs = spark.createDataFrame([("", "x"), (None, None), ("a b", "x a  b y"), ("hello world", "bye moon"), ("one two three", "three two"), ("abcd efgh", "abce efgx")], "e string, a string")
+    got = [r.s for r in pairs.select(P.similarity(F.col("e"), F.col("a")).alias("s")).collect()]
+    assert got[:3] == [1, 1, 1] and got[3] < 0.6 and got[4] == pytest.approx(2 / 3) and got[5] == pytest.approx(14 / 18)
+    assert [r.s for r in spark.createDataFrame([("ab-c1",), ("-a",), ("A",), (None,)], "x string").select(X.is_slug("x").alias("s")).collect()] == [True, False, False, False]
+    assert [r.s for r in spark.createDataFrame([("2024-02-29",), ("2023-02-29",), ("2024-1-1",), (None,)], "x string").select(X.is_date("x").alias("s")).collect()] == [True, False, False, False]
 
 
 # Retrieval
 
 ARTICLES = [
-    ("복무규정#제18조", "cni", "복무규정", "제18조", "연차휴가", "① 직원의 연차휴가는 근로기준법에 따른다.", "active"),
-    ("출장규정#제12조", "cni", "출장규정", "제12조", "교통비", "① 국내 출장자에게는 교통비를 지급한다.", "active"),
-    ("출장규정#제13조", "cni", "출장규정", "제13조", "숙박비", "① 숙박비는 출장지와 교통비 지급 기준을 고려하여 지급한다.", ""),
-    ("출장규정#제14조", "cni", "출장규정", "제14조", "일비", "① 일비를 지급한다.", "repealed"),
+    ("복무규정#제18조", "north", "복무규정", "제18조", "연차휴가", "① 직원의 연차휴가는 근로기준법에 따른다.", "active"),
+    ("출장규정#제12조", "north", "출장규정", "제12조", "교통비", "① 국내 출장자에게는 교통비를 지급한다.", "active"),
+    ("출장규정#제13조", "north", "출장규정", "제13조", "숙박비", "① 숙박비는 출장지와 교통비 지급 기준을 고려하여 지급한다.", ""),
+    ("출장규정#제14조", "north", "출장규정", "제14조", "일비", "① 일비를 지급한다.", "repealed"),
 ]
-ANNEXES = [("인사규정#별표1", "cni", "인사규정", "별표1", "", "승진 기준표", "active"), ("지원규칙#별표1", "cni", "지원규칙", "별표1", "", "지원 기준", "active")]
+ANNEXES = [("인사규정#별표1", "north", "인사규정", "별표1", "", "승진 기준표", "active"), ("지원규칙#별표1", "north", "지원규칙", "별표1", "", "지원 기준", "active")]
 COLUMNS = "id string, institution string, rule string, label string, title string, body string, status string"
 
 
@@ -137,11 +141,11 @@ def test_vectors(spark):
 
 
 def test_pack_routing_and_merge(spark):
-    packs_ = spark.createDataFrame([("cni", ["cni", "충남연구원"]), ("ctp", ["ctp", "충남테크노파크", "테크노파크"])], "institution string, aliases array<string>")
+    packs_ = spark.createDataFrame([("north", ["north", "한빛연구원"]), ("south", ["south", "한국테크노파크", "테크노파크"])], "institution string, aliases array<string>")
     got = {(r.query_id, r.institution) for r in R.route_packs(packs_, ask(spark, "테크노 파크 인사", "연차")).collect()}
-    assert got == {(0, "ctp"), (1, "cni"), (1, "ctp")}
-    alias = F.array_join(X.aliases(F.lit("ctp"), F.lit("충남테크노파크")), "|").alias("a")
-    assert spark.range(1).select(alias).head().a == "ctp|충남테크노파크|테크노파크"
+    assert got == {(0, "south"), (1, "north"), (1, "south")}
+    alias = F.array_join(X.aliases(F.lit("south"), F.lit("한국테크노파크")), "|").alias("a")
+    assert spark.range(1).select(alias).head().a == "south|한국테크노파크|테크노파크"
 
 
 def test_results_do_not_depend_on_partitions(spark, corpus):
@@ -156,7 +160,7 @@ def test_results_do_not_depend_on_partitions(spark, corpus):
 
 def test_variants_and_institutions():
     assert C.variants(" 연차 ", ["연차", "휴가", "휴가 "]) == ["연차", "휴가"]
-    assert C.institutions(["ctp", "c-t-p", " "], ["cni", "ctp"]) == ["ctp"] and C.institutions(None, ["b", "a"]) == ["a", "b"]
+    assert C.institutions(["south", "s-outh", " "], ["north", "south"]) == ["south"] and C.institutions(None, ["b", "a"]) == ["a", "b"]
     for bad in (lambda: C.variants(" "), lambda: C.institutions(["x"] * 13, []), lambda: C.variants("a", ["b"] * 6)):
         with pytest.raises(ValueError):
             bad()
@@ -170,9 +174,9 @@ def test_match_classes(spark, corpus):
         assert (C.STATUS[row.m], row.e) == want
     found = C.compare(docs, spark.createDataFrame([(0, "일비 지급", 0, "일비 지급")], "query_id int, topic string, variant_no int, q string"))
     assert "출장규정#제14조" not in {r.id for r in found.collect()}
-    asked = spark.createDataFrame([(0, "cni"), (0, "nope")], "query_id int, institution string")
+    asked = spark.createDataFrame([(0, "north"), (0, "nope")], "query_id int, institution string")
     got = {r.institution: r.match_status for r in C.statuses(found.filter(F.lit(False)), asked, docs.select("institution").distinct()).collect()}
-    assert got == {"cni": "NoMatchFound", "nope": "PackNotLoaded"}
+    assert got == {"north": "NoMatchFound", "nope": "PackNotLoaded"}
 
 
 def test_body_budget(spark):
@@ -273,7 +277,7 @@ def test_articles_annexes_and_references(spark):
 # Packs
 
 ARTICLE = """---
-institution: "cni"
+institution: "north"
 rule: "복무규정"
 article: "제18조"
 title: "연차휴가"
@@ -297,11 +301,11 @@ pages: [3, 4]
 
 def test_pack_round_trip_and_tampering(spark, tmp_path):
     root = tmp_path / "pack"
-    for name, text in {"articles/a.md": ARTICLE, "annexes/b.md": '---\ntype: annex\ninstitution: "cni"\nrule: "복무규정"\nannex: "별표1"\ntitle: ""\neffective: "2026-01-01"\nstatus: ""\ntable_structured: true\npages: [350, 350]\n---\n표\n', "pages/0350.txt": "쪽", "graph/edges.jsonl": '{"src":"a","dst":"b","kind":"Cites","meta":{}}\n'}.items():
+    for name, text in {"articles/a.md": ARTICLE, "annexes/b.md": '---\ntype: annex\ninstitution: "north"\nrule: "복무규정"\nannex: "별표1"\ntitle: ""\neffective: "2026-01-01"\nstatus: ""\ntable_structured: true\npages: [350, 350]\n---\n표\n', "pages/0350.txt": "쪽", "graph/edges.jsonl": '{"src":"a","dst":"b","kind":"Cites","meta":{}}\n'}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
     path = f"file://{root}"
-    manifest = packs.manifest_of(spark, path, {"institution": "cni"})
+    manifest = packs.manifest_of(spark, path, {"institution": "north"})
     (root / "manifest.json").write_text(json.dumps(manifest))
     pack = packs.open_pack(spark, path)
     a = pack["articles"].head()
@@ -340,7 +344,7 @@ def test_logs_batch_and_stream(spark, tmp_path):
     path = f"file://{tmp_path}"
     top = A.top_questions(packs.read_qlogs(spark, path)).collect()
     assert [(r.key, r.n, r.example, r.misses) for r in top] == [("연차 휴가", 2, "연차 휴가?", 2)]
-    got = logs.run_once(logs.counts(logs.question_stream(spark, path)), "t_counts", f"{path}/state").collect()
+    got = logs.run_once(logs.counts(logs.question_stream(spark, path)), f"{path}/run").collect()
     assert [(r.key, r.n, r.misses) for r in got] == [("연차 휴가", 2, 2)]
     events = spark.createDataFrame([(f"2026-01-01 00:0{m}:00", "a") for m in (0, 1, 6)], "at string, k string").withColumn("at", F.to_timestamp("at"))
     assert sorted(r.n for r in logs.windowed(events, "at", "k", "5 minutes", "1 hour").collect()) == [1, 2]
@@ -433,7 +437,7 @@ def test_archives_and_bare_folders(spark, tmp_path):
     (tmp_path / "in/sub/a.md").write_text(ARTICLE)
     archives.pack(f"{tmp_path}/in", f"{tmp_path}/x.tar.zst")
     assert archives.unpack(f"{tmp_path}/x.tar.zst", f"{tmp_path}/out") == ["sub/a.md"]
-    pack = archives.resolve(spark, f"file://{tmp_path}/out", "cni")
+    pack = archives.resolve(spark, f"file://{tmp_path}/out", "north")
     assert (pack["manifest"]["effective_date"], pack["manifest"]["source_commit"], pack["articles"].count()) == ("2026-02-27", "bare-dir", 1)
     raw = io.BytesIO()
     with tarfile.open(fileobj=raw, mode="w") as tar:

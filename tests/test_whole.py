@@ -20,7 +20,7 @@ def model(spark):
     """(documents by id, terms of each whole item)."""
     if not os.path.isdir(SF):
         pytest.skip("no driver tables here")
-    docs = {r.id: r for r in articles(spark, SF, None).collect()}
+    docs = {r.id: r for r in articles(spark, SF).collect()}
     return docs, {r.item_id: terms(r.text) for r in table(spark, SF, "benchmark").collect()}
 
 
@@ -62,13 +62,13 @@ def rows(spark, name):
 
 
 def test_terms_of_whole_items(spark, model):
-    got = {r.query_id: r.terms.split("|") for r in registry.QUERIES["query_terms_whole"](spark, SF).collect()}
+    got = {r.query_id: r.terms.split("|") for r in registry.QUERIES["query_terms"](spark, SF).collect()}
     assert got == model[1] and min(map(len, got.values())) > 12
 
 
 def test_bm25_asks_the_whole_item(spark, model):
     docs, asked = model
-    got = rows(spark, "search_bm25_whole")
+    got = rows(spark, "search_bm25")
     for q in list(asked)[:8]:
         want = best(bm25(docs, asked[q]), 20)
         assert [i for i, _ in got[q]] == [i for _, i in want]
@@ -77,7 +77,7 @@ def test_bm25_asks_the_whole_item(spark, model):
 
 def test_lexical_and_fusion_ask_the_whole_item(spark, model):
     docs, asked = model
-    got, fused = rows(spark, "search_lexical_whole"), rows(spark, "rrf_fuse_whole")
+    got, fused = rows(spark, "search_lexical"), rows(spark, "rrf_fuse")
     for q in list(asked)[:8]:
         routes = best(bm25(docs, asked[q]), 20), best(lexical(docs, asked[q]), 20)
         assert got[q] == [(i, s) for s, i in routes[1]]
@@ -88,13 +88,28 @@ def test_lexical_and_fusion_ask_the_whole_item(spark, model):
         assert [i for i, _ in fused[q]] == [i for _, i in best(score, 5)]
 
 
-def test_every_query_with_questions_has_a_whole_form():
-    names = {n.removesuffix("_whole") for n in registry.QUERIES if n.endswith("_whole")}
-    assert names == set("query_terms search_bm25 post_filter_topk search_lexical pre_filter_topk rrf_fuse rrf_weighted search_hybrid_topk multi_pack_merge compare_rules body_budget snippet eval_hits sweep_grid".split())
-
-
 def test_titles_are_whole_first_lines(spark, model):
     lines = {r.doc_id: (r.text or "").split("\n")[0] for r in table(spark, SF, "documents").collect()}
     assert {d.doc_id: d.title or "" for d in model[0].values()} == lines and max(map(len, lines.values())) > 80
-    hits = registry.QUERIES["search_hybrid_topk_whole"](spark, SF).collect()
+    hits = registry.QUERIES["search_hybrid_topk"](spark, SF).collect()
     assert all(r.title == model[0][r.id].title for r in hits) and any(len(r.title) > 80 for r in hits)
+
+
+def test_a_filter_holds_for_vectors_too(spark, model):
+    """Hybrid search with vectors and a filter never returns what the filter drops."""
+    from pyspark.sql import functions as F
+
+    from quillmesh.operators import retrieval as R
+
+    d = articles(spark, SF)
+    e = table(spark, SF, "embeddings")
+    vectors = d.select("id", "doc_id").join(e, F.col("doc_id") == F.col("vec_id")).select("id", "embedding")
+    q = spark.createDataFrame([(i, "zzz") for i in range(3)], "query_id long, q string")
+    asked = e.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = R.search(d, d.filter(F.lit(False)), q, 5, where=F.col("status") == "active", vectors=(vectors, asked))["hits"].collect()
+    by_id = {r["vec_id"]: r["embedding"] for r in e.collect()}
+    ids = {r["id"]: r["doc_id"] for r in d.filter("status = 'active'").collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    for n in range(3):
+        want = sorted(((-round(cos(by_id[n], by_id[k]), 9), i) for i, k in ids.items() if k in by_id))[:5]
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == n] == [i for _, i in want]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import enter, mix, numbered, slices, table
 
 SPACE = "▁"
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Longer parts are segmented one by one.
 COLUMNS = 40
 SLOTS = 1 << 18
@@ -379,7 +379,7 @@ def _encode(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pieces", forget)
         model = model_at(path)
-        for b in slices(batches, 4000):
+        for b in slices(batches, 2000):
             texts = [t or "" for t in b.column("text").to_pylist()]
             got = model.encode(texts, n)
             ids, many = _lists([ways[0][1] for ways in got]), np.cumsum([0, *(len(ways) - 1 for ways in got)]).astype(np.int32)

@@ -184,19 +184,19 @@ def _cross(least: float):
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """id and component_id (least reachable id) of every id in edges (a, b), by label passing with pointer jumping."""
-    both = ws.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = ws.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")))
+    both = ws.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), narrow=True)
+    labels = ws.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")), narrow=True)
     while True:
         # The label of an id's label, then the least label among the neighbours.
         jumped = labels.alias("l").join(labels.select(F.col("id").alias("r"), F.col("c").alias("rc")), F.col("l.c") == F.col("r"), "left")
         jumped = jumped.select("id", "c", F.least("c", "rc").alias("j"))
         near = both.join(jumped.select(F.col("id").alias("b"), "j"), "b").groupBy("a").agg(F.min("j").alias("m"))
-        new = ws.save(jumped.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("j", "m").alias("c"), (F.least("j", "m") < F.col("c")).alias("moved")))
+        new = ws.save(jumped.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("j", "m").alias("c"), (F.least("j", "m") < F.col("c")).alias("moved")), narrow=True)
         ws.drop(labels)
         labels = new
         if not labels.filter("moved").limit(1).count():
             ws.drop(both)
-            out = ws.save(labels.select("id", F.col("c").alias("component_id")))
+            out = ws.save(labels.select("id", F.col("c").alias("component_id")), narrow=True)
             ws.drop(labels)
             return out
 
@@ -256,7 +256,7 @@ class NearDuplicates:
         stars = buckets.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         side = lambda s: comp.select(F.col("id").alias(s), F.col("component_id").alias(f"c_{s}"))
         named = stars.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return self.ws.save(named.filter("coalesce(c_a, a) != coalesce(c_b, b)").select("a", "b"))
+        return self.ws.save(named.filter("coalesce(c_a, a) != coalesce(c_b, b)").select("a", "b"), narrow=True)
 
     def across(self, buckets: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs of a bucket that lie in different components so far; buckets of all sizes alike, by the longer signature."""
@@ -264,7 +264,7 @@ class NearDuplicates:
         split = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("id", "comp")).alias("least"))
         # Of two classes only, the star has tried the one pair. The component of the least id is as a rule the large one;
         # its members meet only the others.
-        split = self.ws.save(split.filter("lo < hi and n > 2").select("bucket", F.col("least.comp").alias("main")))
+        split = self.ws.save(split.filter("lo < hi and n > 2").select("bucket", F.col("least.comp").alias("main")), narrow=True)
         left = self.ws.save(named.join(split, "bucket").select("bucket", "band", "id", "comp", (F.col("comp") == F.col("main")).alias("inner")))
         self.ws.drop(named, split)
         ids = left.select(F.col("id").alias("doc_id")).distinct()
@@ -295,7 +295,7 @@ class NearDuplicates:
         docs = self.classes()
         reps = docs.filter("n_shingles > 0 and bands is not null").select(F.col("rep").alias("id"), "n_shingles", "bands", "low")
         buckets = self.buckets(reps)
-        star = ws.save(buckets.filter("id != centre").groupBy("id").agg(F.min("centre").alias("a")).select("a", F.col("id").alias("b")))
+        star = ws.save(buckets.filter("id != centre").groupBy("id").agg(F.min("centre").alias("a")).select("a", F.col("id").alias("b")), narrow=True)
         links = self.verified(star, reps)
         ws.drop(star)
         comp = components(ws, links)

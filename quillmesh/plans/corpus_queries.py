@@ -579,3 +579,73 @@ def log_stream_counts(spark, sf):
     stream = spark.readStream.schema("ts string, question string, miss boolean").json(f"{root}/in")
     keyed = stream.select("miss", X.normalize_question("question").alias("key")).filter("key != ''")
     return logs.run_once(logs.counts(keyed), root).select("key", "n", "misses")
+
+
+# Sources and sinks: what is written is read back
+
+
+@query(rf"{_A} SELECT id, 'article' AS kind, institution, rule, label, coalesce(title, '') AS title, effective, effective AS amended, status, regexp_replace(coalesce(body, ''), '^\n+', '') AS body, '민법' AS law, '제' || (doc_id % 7 + 1) || '조' AS article, rule || '#제1조' AS target, [doc_id % 5 + 1, doc_id % 5 + 2]::INTEGER[]::VARCHAR AS pages FROM articles")
+def markdown_round_trip(spark, sf):
+    """Documents as Markdown with frontmatter, parsed again."""
+    from ..sources import packs
+
+    d = articles(spark, sf)
+    first = (F.col("doc_id") % 5 + 1).cast("int")
+    basis = F.array(F.struct(F.lit("민법").alias("law"), F.concat(F.lit("제"), (F.col("doc_id") % 7 + 1).cast("string"), F.lit("조")).alias("article"), F.lit(None).cast("string").alias("mst")))
+    refs = F.array(F.struct(F.concat("rule", F.lit("#제1조")).alias("target"), F.lit("인용").alias("kind")))
+    full = d.select("*", F.col("effective").alias("amended"), F.lit(None).cast("string").alias("supersedes"), basis.alias("legal_basis"), refs.alias("refs"), F.array(first, first + 1).alias("pages"))
+    full = full.withColumn("body", F.coalesce("body", F.lit("")))
+    parsed = packs.parse_documents(packs.render_markdown(full).select(F.col("id").alias("path"), "text"))
+    one = parsed.withColumn("law", F.col("legal_basis")[0]["law"]).withColumn("article", F.col("legal_basis")[0]["article"]).withColumn("target", F.col("refs")[0]["target"])
+    listed = F.concat(F.lit("["), F.array_join(F.transform("pages", lambda p: p.cast("string")), ", "), F.lit("]"))
+    return one.select("id", "kind", "institution", "rule", "label", "title", "effective", "amended", "status", "body", "law", "article", "target", listed.alias("pages"))
+
+
+@query(rf"WITH {ANNEXES} SELECT rule || '#' || label AS id, 'annex' AS kind, institution, rule, label, title, effective, status, body, table_structured FROM annexes")
+def annex_round_trip(spark, sf):
+    """Annexes as Markdown with frontmatter, parsed again."""
+    from ..sources import packs
+
+    x = annexes(spark, sf).withColumn("pages", F.array(F.col("page_id").cast("int")))
+    parsed = packs.parse_documents(packs.render_annexes(x).select(F.col("id").alias("path"), "text"))
+    return parsed.select("id", "kind", "institution", "rule", "label", "title", "effective", "status", "body", "table_structured")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def jsonl_round_trip(spark, sf):
+    """Rows appended to JSON lines in the shared folder in two parts, read back."""
+    from ..sources import packs
+
+    c, path = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), shared_folder(spark, "jsonl")
+    packs.write_jsonl(c.filter("turn % 2 = 0"), path)
+    packs.write_jsonl(c.filter("turn % 2 = 1"), path, mode="append")
+    return packs.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
+
+
+@query("WITH p AS (SELECT DISTINCT source AS institution FROM documents) SELECT institution, unnest(list_distinct([institution, '재단법인 ' || institution, ' ' || institution])) AS alias FROM p")
+def institution_aliases(spark, sf):
+    """names that an institution goes by, with and without what people leave out."""
+    p = table(spark, sf, "documents").select(F.col("source").alias("institution")).distinct()
+    return p.select("institution", F.explode(X.aliases(F.col("institution"), F.concat(F.lit("재단법인 "), "institution"), ("재단법인",))).alias("alias"))
+
+
+@query("WITH h AS (SELECT l_orderkey AS query_id, l_partkey AS id, count(*) FROM lineitem GROUP BY ALL) SELECT query_id, 'p' || id AS id, p_brand AS effective FROM h JOIN part ON p_partkey = id")
+def hit_freshness(spark, sf):
+    """the dates of each query's hits as one map, shown row by row."""
+    hits = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id")).distinct()
+    docs = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("effective"))
+    return D.hit_meta(hits, docs).select("query_id", F.explode("meta").alias("id", "m")).select("query_id", "id", "m.effective")
+
+
+@query(f"{_A}, h AS (SELECT id, doc_id % 10 AS query_id FROM articles) SELECT query_id, id, title, body FROM h JOIN articles USING (id)")
+def hit_context(spark, sf):
+    """Hits with their title and text, as a prompt takes them."""
+    d = articles(spark, sf)
+    return D.context_blocks(d.select("id", (F.col("doc_id") % 10).alias("query_id")), d).select("query_id", "id", "title", "body")
+
+
+@query("SELECT event_id, event_type || CASE WHEN contains(event_type, 'notice') THEN '' ELSE chr(10) || chr(10) || 'notice' END AS text, right(event_type, 3) AS tail, regexp_matches(event_type, '^[a-z0-9]+(-[a-z0-9]+)*$') AS slug, TRUE AS dated FROM events")
+def notices_and_checks(spark, sf):
+    """A notice appended once, the last characters, and the validators of names and dates."""
+    e = table(spark, sf, "events")
+    return e.select("event_id", X.append_once(X.append_once("event_type", "notice"), "notice").alias("text"), X.last_chars("event_type", 3).alias("tail"), X.is_slug("event_type").alias("slug"), X.is_date(F.date_format("ts", "yyyy-MM-dd")).alias("dated"))

@@ -216,7 +216,7 @@ class NearDuplicates:
         """Each document with the least doc_id of those with an equal set."""
         prof = self.ws.save(self.docs.mapInArrow(_profile(self.k, self.rows, self.bands), "doc_id long, n_shingles long, key binary, bands array<long>, low binary"))
         # Stored before the join, so that both of its sides are exchanges and a hot key's rows can be split.
-        groups = self.ws.save(prof.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+        groups = self.ws.save(prof.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"), narrow=True)
         named = prof.join(groups, "key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
         keep = F.col("doc_id") == F.col("rep")
         out = self.ws.save(named.select("doc_id", "n_shingles", "rep", F.when(keep, F.col("bands")).alias("bands"), F.when(keep, F.col("low")).alias("low")))
@@ -227,8 +227,9 @@ class NearDuplicates:
         """Band buckets with two classes or more: bucket, id, centre (the least id)."""
         each = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
         shared = each.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last").select("bucket", "centre")
-        shared = self.ws.save(shared)
-        out = self.ws.save(each.join(shared, "bucket"))
+        shared = self.ws.save(shared, narrow=True)
+        # A bucket is one row of the hashed side, so that side is even, and the rows of the other needn't be sorted.
+        out = self.ws.save(each.join(shared.hint("shuffle_hash"), "bucket"), narrow=True)
         self.ws.drop(shared)
         return out
 
@@ -237,7 +238,7 @@ class NearDuplicates:
         side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("low").alias(f"low_{s}"))
         near = pairs.join(side("a"), "a").join(side("b"), "b")
         fits = f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)"
-        near = self.ws.save(near.filter(fits).select("a", "b", "low_a", "low_b").mapInArrow(_estimate(self.least), "a long, b long"))
+        near = self.ws.save(near.filter(fits).select("a", "b", "low_a", "low_b").mapInArrow(_estimate(self.least), "a long, b long"), narrow=True)
         out = self.confirmed(near)
         self.ws.drop(near)
         return out
@@ -247,7 +248,7 @@ class NearDuplicates:
         sets = self.ws.save(self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(self.k), "id long, set binary"))
         one = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"set_{s}"))
         links = near.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b")
-        out = self.ws.save(links.mapInArrow(_confirm(self.percent), "a long, b long"))
+        out = self.ws.save(links.mapInArrow(_confirm(self.percent), "a long, b long"), narrow=True)
         self.ws.drop(sets)
         return out
 
@@ -260,12 +261,12 @@ class NearDuplicates:
 
     def across(self, buckets: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs of a bucket that lie in different components so far; buckets of all sizes alike, by the longer signature."""
-        named = self.ws.save(buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"))
+        named = self.ws.save(buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"), narrow=True)
         split = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("id", "comp")).alias("least"))
         # Of two classes only, the star has tried the one pair. The component of the least id is as a rule the large one;
         # its members meet only the others.
         split = self.ws.save(split.filter("lo < hi and n > 2").select("bucket", F.col("least.comp").alias("main")), narrow=True)
-        left = self.ws.save(named.join(split, "bucket").select("bucket", "band", "id", "comp", (F.col("comp") == F.col("main")).alias("inner")))
+        left = self.ws.save(named.join(split, "bucket").select("bucket", "band", "id", "comp", (F.col("comp") == F.col("main")).alias("inner")), narrow=True)
         self.ws.drop(named, split)
         ids = left.select(F.col("id").alias("doc_id")).distinct()
         long = self.ws.save(self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_long(self.k), "id long, low binary"))

@@ -221,12 +221,12 @@ def _later(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
 def _whole(docs: DataFrame, ws: Workspace, window: int) -> tuple[DataFrame, DataFrame]:
     """Super-k-mers, with whether their string occurs earlier; and by document those whose windows need a closer look."""
     every = ws.save(docs.select("_id", "_th", "text").mapInArrow(_census(window, MINIMISER), _STRING + _PLACE))
-    often = ws.save(every.groupBy("low").agg(F.count("*").alias("c")).filter("c > 1").select("low"))
+    often = ws.save(every.groupBy("low").agg(F.count("*").alias("c")).filter("c > 1").select("low"), narrow=True)
     some = ws.save(every.join(often, "low"))
     ws.drop(every, often)
     repeated, strings = _later(some, ws)
     ws.drop(some)
-    many = ws.save(strings.groupBy("low").agg(F.count("*").alias("d")).filter("d > 1").select("low", (F.col("d") > SPLIT).alias("large")))
+    many = ws.save(strings.groupBy("low").agg(F.count("*").alias("d")).filter("d > 1").select("low", (F.col("d") > SPLIT).alias("large")), narrow=True)
     wanted = strings.join(many, "low").select("first._id", "first._th", F.struct("first.start", "first.n", "low", "large").alias("w"))
     wanted = ws.save(wanted.groupBy("_id", "_th").agg(F.collect_list("w").alias("wanted")))
     ws.drop(strings, many)

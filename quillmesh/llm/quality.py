@@ -101,13 +101,12 @@ def train(ids: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, s
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
-    shares = [c / max(1.0, c.sum()) for c in counts]
     steps, done = EPOCHS * len(labels), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(labels)):
             rate = RATE * (1 - done / steps)
             done += 1
-            u, s = ids[i], shares[i]
+            u, s = ids[i], counts[i] / max(1.0, counts[i].sum())
             mean = s @ vectors[u] if len(u) else np.zeros(WIDTH, np.float32)
             z = layer @ mean + bias
             p = np.exp(z - z.max())
@@ -167,6 +166,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep:
         ids = [np.asarray(got.column("ids")[int(i)].values) for i in order]
         n = [np.asarray(got.column("n")[int(i)].values) for i in order]
         weights, bias = train(ids, n, y[order])
+        del got, ids, n
+        pa.default_memory_pool().release_unused()  # the driver goes on to other work
         kinds = dict(rows_.dtypes)
         out = rows_.mapInArrow(_score(weights, bias, passed), ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", score double")
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

@@ -89,11 +89,17 @@ class Workspace:
         path = self.path()
         if narrow:
             df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")) // 8))
-        df.write.option("compression", "zstd").parquet(path)
+        # Nobody waits for the marker of a finished job: the table is read by this driver only.
+        df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.__dict__["_stored_at"] = path
         return out
 
+    def view(self, stored: DataFrame, df: DataFrame) -> DataFrame:
+        """df, which reads nothing but the stored table, is from now on what drop() takes to remove it."""
+        df.__dict__["_stored_at"] = stored.__dict__.pop("_stored_at")
+        return df
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             if path := df.__dict__.pop("_stored_at", None):

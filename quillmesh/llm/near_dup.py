@@ -196,9 +196,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         labels = new
         if not labels.filter("moved").limit(1).count():
             ws.drop(both)
-            out = ws.save(labels.select("id", F.col("c").alias("component_id")), narrow=True)
-            ws.drop(labels)
-            return out
+            return ws.view(labels, labels.select("id", F.col("c").alias("component_id")))
 
 
 class NearDuplicates:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -29,18 +30,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows and bytes of the slices that Python functions work on.
-SLICE_ROWS, SLICE_BYTES = 1000, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to `rows` rows and about SLICE_BYTES bytes at most (a longer row alone): texts can be long.
 
     So what a Python function holds is bounded whatever the session's own batch settings are; they stay as they are.
+    At the end of a task the worker gives back what its allocators have kept, as it lives on beside the executor's JVM.
     """
-    for b in batches:
-        step = max(1, min(rows, b.num_rows * SLICE_BYTES // max(1, b.nbytes)))
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
+    try:
+        for b in batches:
+            step = max(1, min(rows, b.num_rows * SLICE_BYTES // max(1, b.nbytes)))
+            for i in range(0, b.num_rows, step):
+                yield b.slice(i, step)
+            b = None
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: Arrow's pool, then the C library's heap where it can be trimmed."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 _scratch: ContextVar[list[Workspace] | None] = ContextVar("scratch", default=None)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, enter, mix, numbered_words, row_key, slices, table
+from .common import Workspace, enter, give_back, mix, numbered_words, row_key, slices, table
 
 BUCKETS, WIDTH = 1 << 18, 16
 #: Labelled rows to learn from, at most: those whose hashed doc_id and text are least.
@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep:
         n = [np.asarray(got.column("n")[int(i)].values) for i in order]
         weights, bias = train(ids, n, y[order])
         del got, ids, n
-        pa.default_memory_pool().release_unused()  # the driver goes on to other work
+        give_back()  # the driver goes on to other work
         kinds = dict(rows_.dtypes)
         out = rows_.mapInArrow(_score(weights, bias, passed), ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", score double")
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

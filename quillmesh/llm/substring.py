@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, enter, mix, raw, row_key, run_hashes, slices, table, text_words
+from .common import Workspace, enter, give_back, mix, raw, row_key, run_hashes, slices, table, text_words
 
 MINIMISER = 6
 SPLIT = 4096
@@ -195,6 +195,8 @@ def _judge(window: int):
                 held, size = t.combine_chunks().to_batches(), t.nbytes
         if held:
             yield ready(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
 
     return run
 

@@ -12,11 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
+from ..sources.shared import stored
+from .scoring import SLICE_ROWS, best, slices
 
 K1, B = 1.2, 0.75
 #: A route ranks so many times k candidates before it filters or is fused.
@@ -66,6 +69,89 @@ def bm25(docs: DataFrame, query_tokens: DataFrame, boosts: dict[str, float]) ->
     return scored.join(sized(query_tokens), "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 
 
+def bm25_best(docs: DataFrame, query_tokens: DataFrame, boosts: dict[str, float], n: int) -> DataFrame:
+    """(query_id, id, score, rank): the n best by bm25(), ranked where the documents are read.
+
+    A first pass counts documents and lengths of each field and the documents of each term; a second scores. Neither ships
+    postings or pairs: what leaves the workers are counts, and the best of each query and class of queries.
+    """
+    fields = list(boosts)
+    cut = docs.select("id", *[X.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)])
+
+    def counted(part: pa.RecordBatch, i: int, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths in tokens, then (document, term, count) of field i."""
+        column = part.column(f"t{i}")
+        lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten()
+        code = pc.fill_null(pc.index_in(flat, value_set=known.cast(flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        pair, tf = np.unique((row * len(known) + code)[code >= 0], return_counts=True)
+        return lengths, *np.divmod(pair, len(known)), tf
+
+    def reader(terms: list[str]):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(terms, pa.string())
+            df, total, rows = np.zeros((len(fields), len(terms)), np.int64), np.zeros(len(fields), np.int64), 0
+            for part in slices(batches, SLICE_ROWS):
+                rows += part.num_rows
+                for i in range(len(fields)):
+                    lengths, _, code, _ = counted(part, i, known)
+                    total[i] += lengths.sum()
+                    df[i] += np.bincount(code, minlength=len(terms))
+            f, code = np.nonzero(df)
+            f, code, m = [*f.tolist(), *range(len(fields)), -1], [*code.tolist(), *[-1] * len(fields), -1], [*df[f, code].tolist(), *total.tolist(), rows]
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(code, pa.int64()), pa.array(m, pa.int64())], ["f", "code", "m"])
+
+        weight, mean, n_docs = np.zeros((len(fields), len(terms))), np.ones(len(fields)), 0
+        sums = cut.drop("id").mapInArrow(count, "f long, code long, m long").groupBy("f", "code").agg(F.sum("m").alias("m")).collect()  # at most one row a field and asked term
+        n_docs = next((r["m"] for r in sums if r["f"] < 0), 0)
+        for r in sums:
+            if r["f"] >= 0 and r["code"] < 0:
+                mean[r["f"]] = r["m"] / n_docs if r["m"] else 1.0
+            elif r["f"] >= 0:
+                weight[r["f"], r["code"]] = boosts[fields[r["f"]]] * np.log(1 + (n_docs - r["m"] + 0.5) / (r["m"] + 0.5)) * (K1 + 1)
+
+        def open_reader():
+            known = pa.array(terms, pa.string())
+
+            def read(part: pa.RecordBatch):
+                out = []
+                for i in range(len(fields)):
+                    lengths, row, code, tf = counted(part, i, known)
+                    out.append((row, code, weight[i, code] * tf / (tf + K1 * (1 - B + B * lengths[row] / mean[i]))))
+                return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+            return read
+
+        return open_reader
+
+    return best(cut, query_tokens, n, reader)
+
+
+def _automaton(known: list[str]):
+    import ahocorasick
+
+    tree = ahocorasick.Automaton()
+    for i, p in enumerate(known):
+        tree.add_word(p, i)
+    tree.make_automaton()
+    return tree
+
+
+def _held(part: pa.RecordBatch, tree, weights: list[tuple[tuple[str, ...], float]]) -> tuple[list[int], list[int], list[float]]:
+    """(document in the slice, pattern, weight) for each weight one of whose columns holds the pattern."""
+    texts = {c: part.column(c).to_pylist() for c in dict.fromkeys(c for columns, _ in weights for c in columns)}
+    docs, at, score = [], [], []
+    for row in range(part.num_rows):
+        hits = {c: {i for _, i in tree.iter(t[row])} if t[row] else set() for c, t in texts.items()}
+        for columns, w in weights:
+            some = hits[columns[0]].union(*(hits[c] for c in columns[1:]))
+            docs += [row] * len(some)
+            at += some
+            score += [w] * len(some)
+    return docs, at, score
+
+
 def occurrences(docs: DataFrame, weights: list[tuple[tuple[str, ...], float]], patterns: DataFrame) -> DataFrame:
     """(id, pattern, weight): the strings of patterns (one column) that occur in a document, by one pass over each text.
 
@@ -78,28 +164,15 @@ def occurrences(docs: DataFrame, weights: list[tuple[tuple[str, ...], float]], p
 
     def search(known: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            tree = ahocorasick.Automaton()
-            for i, p in enumerate(known):
-                tree.add_word(p, i)
-            tree.make_automaton()
+            tree = _automaton(known)
             for b in batches:
                 for start in range(0, b.num_rows, 500):
                     part = b.slice(start, 500)
-                    ids, at, score = [], [], []
-                    texts = {c: part.column(c).to_pylist() for c in names}
-                    for row, key in enumerate(part.column("id").to_pylist()):
-                        hits = {c: {i for _, i in tree.iter(texts[c][row])} if texts[c][row] else set() for c in names}
-                        total: dict[int, float] = {}
-                        for columns, w in weights:
-                            for i in set().union(*(hits[c] for c in columns)):
-                                total[i] = total.get(i, 0.0) + w
-                        ids += [key] * len(total)
-                        at += total.keys()
-                        score += total.values()
-                    table = pa.array(known, pa.string()).take(pa.array(at, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), table, pa.array(score, pa.float64())], ["id", "pattern", "weight"])
+                    total: dict[tuple[int, int], float] = {}
+                    for row, i, w in zip(*_held(part, tree, weights), strict=True):
+                        total[row, i] = total.get((row, i), 0.0) + w
+                    rows, at = pa.array([r for r, _ in total], pa.int64()), pa.array([i for _, i in total], pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(rows), pa.array(known, pa.string()).take(at), pa.array(list(total.values()), pa.float64())], ["id", "pattern", "weight"])
 
         return run
 
@@ -124,14 +197,14 @@ def query_tokens(queries: DataFrame, terms: Column | None = None) -> DataFrame:
 
 def bm25_route(docs: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """Title and body by BM25. The filter comes after the cut: documents that fail it have taken a place."""
-    hits = ranked(bm25(docs, query_tokens(with_terms(queries)), {"title": 2.0, "body": 1.0}), DEPTH * k)
+    hits = bm25_best(docs, query_tokens(with_terms(queries)), {"title": 2.0, "body": 1.0}, DEPTH * k)
     return _after(hits, docs, where, k)
 
 
 def rule_route(docs: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """Rule names by BM25, for queries with a term that looks like one; filtered after the cut."""
     q = with_terms(queries)
-    hits = ranked(bm25(docs, query_tokens(q, X.rule_terms(F.col("terms"))), {"rule": 3.0}), DEPTH * k)
+    hits = bm25_best(docs, query_tokens(q, X.rule_terms(F.col("terms"))), {"rule": 3.0}, DEPTH * k)
     return _after(hits, docs, where, k)
 
 
@@ -145,10 +218,23 @@ def lexical_route(docs: DataFrame, queries: DataFrame, k: int, where: Column | N
     """Substring scores: per term 3 for the rule, 2 title, 1.5 label, 1 body; of annexes also their compact forms. The filter comes first."""
     some = docs if where is None else docs.filter(where)
     more = lambda c: (c, f"compact_{c}") if annex else (c,)
-    terms = with_terms(queries).select("query_id", F.explode("terms").alias("pattern"))
-    found = occurrences(some, [(("rule",), 3.0), (more("title"), 2.0), (("label",), 1.5), (more("body"), 1.0)], terms.select("pattern"))
-    asked = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    return ranked(found.join(asked, "pattern").groupBy("query_id", "id").agg(F.sum("weight").alias("score")), DEPTH * k)
+    weights = [(("rule",), 3.0), (more("title"), 2.0), (("label",), 1.5), (more("body"), 1.0)]
+    names = list(dict.fromkeys(c for columns, _ in weights for c in columns))
+
+    def reader(known: list[str]):
+        def open_reader():
+            tree = _automaton(known)
+
+            def read(part: pa.RecordBatch):
+                row, at, w = _held(part, tree, weights)
+                return np.array(row, np.int64), np.array(at, np.int64), np.array(w, np.float64)
+
+            return read
+
+        return open_reader
+
+    terms = with_terms(queries).select("query_id", F.explode("terms").alias("term"))
+    return best(some.select("id", *names), terms, DEPTH * k, reader)
 
 
 def annex_route(annexes: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
@@ -254,9 +340,10 @@ def merge_pinned(pinned: DataFrame, hits: DataFrame, k: int) -> DataFrame:
 def search(docs: DataFrame, annexes: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, rule: str | None = None, vectors: tuple[DataFrame, DataFrame] | None = None, rrf_k: int = 60, vector_weight: float = 1.0) -> dict[str, DataFrame]:
     """Hybrid search: {'hits', 'pin', 'retrieval'}. Blank questions and k = 0 find nothing.
 
-    vectors: (id, embedding) and (query_id, query_vector); without them that route is left out.
+    vectors: (id, embedding) and (query_id, query_vector); without them that route is left out. Questions and what each route
+    finds are stored before they are fused: one plan of all routes takes more of the driver's memory than any of them.
     """
-    queries = queries.filter(X.blank_to_null("q").isNotNull() & F.lit(k > 0))
+    queries = stored(queries.filter(X.blank_to_null("q").isNotNull() & F.lit(k > 0)), "questions")
     both = docs.unionByName(annexes, allowMissingColumns=True)
     lexical = lexical_route(docs, queries, k, where).unionByName(lexical_route(annexes, queries, k, where, annex=True)) if "compact_body" in annexes.columns else lexical_route(both, queries, k, where)
     lexical = ranked(lexical.drop("rank"), DEPTH * k)
@@ -266,8 +353,8 @@ def search(docs: DataFrame, annexes: DataFrame, queries: DataFrame, k: int = 5,
         kept = vectors[0] if where is None else vectors[0].join(both.filter(where).select("id"), "id", "left_semi")
         routes.append((vector_route(kept, vectors[1], k), vector_weight))
     routes += [(rule_route(both, queries, k, where), 1.0), (lexical, 1.0)]
-    retrieval = fuse(routes, k, rrf_k)
-    pin = pins(docs, annexes, queries, where, rule)
+    retrieval = fuse([(stored(r.select("query_id", "id", "rank"), "route"), w) for r, w in routes if w > 0], k, rrf_k)
+    pin = stored(pins(docs, annexes, queries, where, rule), "pins")
     return {"hits": merge_pinned(pin, retrieval, k), "pin": pin, "retrieval": retrieval}
 
 

@@ -38,6 +38,12 @@ def out(df: DataFrame, *more: str) -> DataFrame:
     return df.select("query_id", "id", F.round("score", 6).alias("score"), "rank", *more)
 
 
+def titled(hits: DataFrame, titles: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Hits with the titles of their documents; hits are k a query at most and go to the titles while they are few, as first lines may be whole texts."""
+    few = queries.count() * k <= R.BROADCAST_TERMS
+    return titles.join(F.broadcast(hits) if few else hits, "id")
+
+
 def _views(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return articles(spark, sf), questions(spark, sf)
 
@@ -133,7 +139,7 @@ def search_hybrid_topk(spark, sf):
     d, q = _views(spark, sf)
     none = d.filter(F.lit(False))
     hits = R.search(d, none, q, K)["hits"]
-    return out(hits.join(d.select("id", "title"), "id"), "title")
+    return out(titled(hits, d.select("id", "title"), q, K), "title")
 
 
 def _full_pack(spark, sf):
@@ -141,7 +147,7 @@ def _full_pack(spark, sf):
 
     A document's vector is that of embeddings with its number; a question that names an article has the article's own.
     """
-    a = articles(spark, sf).withColumn("rule", F.concat("rule", F.lit("규정"))).withColumn("label", F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조"))).withColumn("id", F.concat("rule", F.lit("#"), "label"))
+    a = articles(spark, sf, status=False).withColumn("rule", F.concat("rule", F.lit("규정"))).withColumn("label", F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조"))).withColumn("id", F.concat("rule", F.lit("#"), "label"))
     x = annexes(spark, sf)
     some, named = a.filter("doc_id % 50 = 0"), x.filter("page_id % 50 = 0")
     qa = some.select((F.col("doc_id") + 1000000000).alias("query_id"), F.concat("rule", F.lit("상 "), "label", F.lit("는 무엇인가?")).alias("q"))
@@ -158,7 +164,7 @@ def search_hybrid_full(spark, sf):
     """3.1: hybrid search of the full pack, articles and annexes, by all routes and pins."""
     a, x, q, vectors = _full_pack(spark, sf)
     titles = a.select("id", "title").union(x.select("id", "title"))
-    return out(R.search(a, x, q, K, vectors=vectors)["hits"].join(titles, "id"), "title", "pinned")
+    return out(titled(R.search(a, x, q, K, vectors=vectors)["hits"], titles, q, K), "title", "pinned")
 
 
 def _refs(spark, sf):

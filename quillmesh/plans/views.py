@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,15 +10,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents: institution = lang, rule = source, label = doc_id, title = first line, status from labels.quality."""
-    line = F.substring_index("text", "\n", 1)
+def articles(spark: SparkSession, sf_dir: str, status: bool = True) -> DataFrame:
+    """documents: institution = lang, rule = source, label = doc_id, title = first line, status from labels.quality.
+
+    Without status no label is joined, which would ship whole texts for each route that reads them.
+    """
+    if not status:
+        return _articles(table(spark, sf_dir, "documents"))
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    status = F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "repealed").otherwise("")
+    return _articles(d.join(q, "doc_id", "left"), F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "repealed").otherwise("").alias("status"))
+
+
+def _articles(d: DataFrame, *status: Column) -> DataFrame:
+    line = F.substring_index("text", "\n", 1)
     month = F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0")
-    return d.join(q, "doc_id", "left").select(
+    return d.select(
         "doc_id", F.concat("source", F.lit("#"), F.col("doc_id").cast("string")).alias("id"), F.lit("article").alias("kind"), F.col("lang").alias("institution"), F.col("source").alias("rule"),
-        F.col("doc_id").cast("string").alias("label"), line.alias("title"), F.col("text").alias("body"), status.alias("status"),
+        F.col("doc_id").cast("string").alias("label"), line.alias("title"), F.col("text").alias("body"), *status,
         F.concat(F.lit("2025-"), month, F.lit("-01")).alias("effective"),
     )
 

@@ -80,7 +80,7 @@ def pre_filter_topk(spark, sf):
 
 def _rule_questions(spark, sf):
     """Questions that name a rule: the source of a document, with an ending that rule names have."""
-    d = articles(spark, sf).withColumn("rule", F.concat("rule", F.lit("규정")))
+    d = articles(spark, sf, status=False).withColumn("rule", F.concat("rule", F.lit("규정")))
     q = d.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.concat("rule", F.lit(" "), "title").alias("q"))
     return d, q
 
